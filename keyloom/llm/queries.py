@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import mixing, sharding
+from . import mixing, secrets, sharding, tokenizing
 
 QUERIES = {}
 ORACLES = {}
@@ -39,3 +39,17 @@ t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT le
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
   row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * k + u) - floor(rate * (k - 1) + u)) AS BIGINT) AS taken FROM k"""
+
+
+@register
+def op8_secret_novelty(spark, sf_dir):
+    found = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+@register
+def op10_chunked_bpe(spark, sf_dir):
+    return tokenizing.encode_documents(table(spark, sf_dir, "documents"))
