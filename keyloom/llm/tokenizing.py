@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,8 @@ MEMORY, LONGEST = 200_000, 64
 #: Longer pieces are merged by a heap; the library's own loop is quadratic.
 HEAP_FROM = 400
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Stands for a character that the library's older Unicode tables take for neither letter nor number.
+SYMBOL = "\u2603"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -49,8 +52,26 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.merge = library._core_bpe.encode_single_piece
         self.known: dict[str, tuple[int, ...]] = {}
+        self.newer: dict[int, str] = {}
+        self.newer_seen = None
+        self._learn_newer(library.encode_ordinary)
+
+    def _learn_newer(self, encode) -> None:
+        """The runs of recent letters and numbers that the library's regular expressions don't know as such, found by asking it."""
+        run: list[str] = []
+        for c in [*regex.findall(r"[\p{L}\p{N}]", "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)), ""]:
+            if run and (not c or ord(c) != ord(run[-1]) + 1 or unicodedata.category(c) != "Cn"):
+                if any(encode(t) != self.encode_pieces(self.pattern.findall(t)) for x in run for t in (f"a{x}a 1{x}1",)):
+                    self.newer |= {ord(x): SYMBOL for x in run}
+                run = []
+            if c and unicodedata.category(c) == "Cn":
+                run.append(c)
+        if self.newer:
+            self.newer_seen = regex.compile("[" + "".join(map(chr, self.newer)) + "]")
+        self.known.clear()
 
     def piece(self, text: str) -> tuple[int, ...]:
         found = self.known.get(text)
@@ -83,8 +104,12 @@ class Codec:
                     heapq.heappush(heap, (r, at, x))
         return [self.ranks[p] for p in parts if p is not None]
 
+    def plain(self, text: str) -> str:
+        """The text as the pattern should see it; places stay."""
+        return text.translate(self.newer) if self.newer_seen and not text.isascii() and self.newer_seen.search(text) else text
+
     def ends(self, text: str) -> list[int]:
-        return [m.end() for m in self.pattern.finditer(text)]
+        return [m.end() for m in self.pattern.finditer(self.plain(text))]
 
     def encode_pieces(self, pieces: list[str]) -> list[int]:
         ids: list[int] = []
@@ -99,7 +124,8 @@ class Codec:
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
         """The whole route for one text."""
         if len(text) <= chunk:
-            return self.encode_pieces(self.pattern.findall(text))
+            seen = self.plain(text)
+            return self.encode_pieces(self.pattern.findall(text) if seen is text else pieces_of(text, self.ends(text)))
         parts = [(s, self.ends(text[s : s + chunk + overlap])) for s in range(0, len(text), chunk)]
         return self.encode_pieces(pieces_of(text, stitch(text, parts, chunk + overlap, self.ends)))
 
