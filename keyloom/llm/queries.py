@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import mixing, secrets, sharding, tokenizing
+from . import ann, mixing, secrets, sharding, tokenizing, topk, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -53,3 +53,40 @@ def op8_secret_novelty(spark, sf_dir):
 @register
 def op10_chunked_bpe(spark, sf_dir):
     return tokenizing.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op1_redirect_filter(spark, sf_dir):
+    return urls.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register
+def op5_collision_counting(spark, sf_dir):
+    return ann.approximate_top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op9_tiled_top_k(spark, sf_dir):
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_tiled_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+ORACLES["op1_redirect_filter"] = r"""
+WITH RECURSIVE rules(rule, host, path, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+tags AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?\s*canonical[^>]*>'), '(?is)href\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+  regexp_extract(regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?\s*refresh[^>]*>'), '(?is)content\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?\s*([^"''\s>]+)', 1)]) AS raw FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+e AS (SELECT url AS a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^[^:/?#]*:') || t WHEN starts_with(t, '/') THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || t END AS b FROM (SELECT url, replace(raw, '&amp;', '&') AS t FROM tags)),
+both_ways AS (SELECT a, b FROM e WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND a <> b),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b),
+urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT a FROM both_ways)),
+rest AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM urls),
+hp AS (SELECT url, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+own AS (SELECT hp.url, hp.host, hp.path, arg_max(rules.rule, length(rules.rule)) AS rule, arg_max(rules.verdict, length(rules.rule)) AS verdict FROM hp LEFT JOIN rules ON (hp.host = rules.host OR ends_with(hp.host, '.' || rules.host)) AND starts_with(hp.path, rules.path) GROUP BY ALL),
+alias AS (SELECT r.a AS url, bool_or(o.verdict = 'block') AND NOT coalesce(bool_or(o.verdict = 'allow'), false) AS bad FROM reach r JOIN own o ON o.url = r.b GROUP BY 1)
+SELECT p.page_id, coalesce(o.host, '') AS host, coalesce(o.path, '') AS path, o.rule, coalesce(o.verdict, CASE WHEN alias.bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p LEFT JOIN own o ON o.url = p.url LEFT JOIN alias ON alias.url = p.url"""
