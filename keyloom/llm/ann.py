@@ -4,10 +4,11 @@ Inner product becomes distance: within a tile each vector gets one more coordina
 its length to the tile's longest, and queries are scaled to that length. A tile's index is m
 arrays, each the tile's vectors sorted by one random projection. For a query, windows of half
 width w centred at its own projections count how many arrays a vector lies close in; virtual
-rehashing widens the windows step by step, and only what a step adds is read. A vector that has
-collided in ``threshold`` arrays is verified by its exact inner product. The search of a tile
+rehashing widens the windows step by step. A window is a stretch of places in the sorted array,
+so a vector collides if its place there (kept beside the array) falls in the stretch. A vector
+that has collided in ``threshold`` arrays is verified by its exact inner product. The search of a tile
 ends when its k-th best lies so near that a vector at that distance would have reached the
-threshold with probability ``SURE``, or when the windows hold the whole tile; there is no cap
+threshold with probability ``SURE``, or when all are verified; there is no cap
 on candidates. Every row is indexed, no index is fitted to a sample.
 
 Defined cases: see ``vectors``; zero vectors take no part. Ties go to the smaller vec_id; equal
@@ -23,11 +24,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import first_k, nearest, own_places
+from .vectors import nearest, own_places
 
-PROJECTIONS, THRESHOLD, SURE = 40, 24, 0.97
+PROJECTIONS, THRESHOLD, SURE = 96, 66, 0.85
 #: The first windows as a share of those at which a search over a small sample would end, and the growth of a step.
-FIRST, WIDER = 0.7, 1.18
+FIRST, WIDER = 0.8, 1.15
 SAMPLE = 512
 
 
@@ -46,15 +47,21 @@ def reach(m: int = PROJECTIONS, threshold: int = THRESHOLD, sure: float = SURE)
 def search_tile(q_ids, q_data, ids, data, k: int, seed: int = 5, spent: list | None = None):
     """(query places, shard places, scores) of the best k found in one tile; ``spent`` gets the number of verified vectors."""
     n, dim = data.shape
+    if n > 65_535:
+        raise ValueError("a tile's places take 16 bits")
+    if not len(q_ids) or not n:
+        return (np.empty(0, np.int64),) * 3
     z = reach()
     norms = np.sqrt(np.einsum("ij,ij->i", data, data))
     longest = norms.max()
     lift = np.sqrt(np.maximum(longest**2 - norms**2, 0.0))
     axes = np.random.default_rng([seed, dim]).standard_normal((dim + 1, PROJECTIONS))
     shadow = data @ axes[:dim] + lift[:, None] * axes[dim]
-    order = np.argsort(shadow, axis=0, kind="stable").astype(np.int32)
+    order = np.argsort(shadow, axis=0, kind="stable")
     lines = np.ascontiguousarray(np.take_along_axis(shadow, order, axis=0).T)
-    order = np.ascontiguousarray(order.T)
+    places = np.empty((PROJECTIONS, n), np.uint16)
+    for j in range(PROJECTIONS):
+        places[j, order[:, j]] = np.arange(n, dtype=np.uint16)
     q_norms = np.sqrt(np.einsum("ij,ij->i", q_data, q_data))
     q_shadow = (q_data / q_norms[:, None]) @ axes[:dim] * longest
     own = dict(zip(*(x.tolist() for x in own_places(q_ids, ids))))
@@ -66,67 +73,47 @@ def search_tile(q_ids, q_data, ids, data, k: int, seed: int = 5, spent: list | N
     seen = q_data @ data[some].T
     kth = np.partition(seen, -min(k, len(some)), axis=1)[:, -min(k, len(some))]
     width = np.array([FIRST * z * distance(s, i) for i, s in enumerate(kth)]) + 1e-12 * longest
-    m, out_q, out_v, out_s = range(PROJECTIONS), [], [], []
-    left = right = None
+    out_q, out_v, out_s = [], [], []
     active = np.arange(len(q_ids))
-    hits = {int(i): np.zeros(n, np.uint8) for i in ()}
-    state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    left = np.stack([np.searchsorted(lines[j], q_shadow[:, j]) for j in m], axis=1)
-    right = left.copy()
+    done = {i: (np.zeros(n, bool), np.empty(0, np.int64), np.empty(0)) for i in active.tolist()}
     while len(active):
-        new_left = np.stack([np.searchsorted(lines[j], q_shadow[active, j] - width[active], "left") for j in m], axis=1)
-        new_right = np.stack([np.searchsorted(lines[j], q_shadow[active, j] + width[active], "right") for j in m], axis=1)
+        at, w = q_shadow[active], width[active]
+        left = np.stack([np.searchsorted(x, at[:, j] - w, "left") for j, x in enumerate(lines)], axis=1)
+        right = np.stack([np.searchsorted(x, at[:, j] + w, "right") for j, x in enumerate(lines)], axis=1)
         going = []
         for a, i in enumerate(active.tolist()):
-            count = hits.get(i)
-            if count is None:
-                count = hits[i] = np.zeros(n, np.uint8)
-                state[i] = (np.empty(0, np.int64), np.empty(0))
-            nl, nr, ol, orr = new_left[a].tolist(), new_right[a].tolist(), left[i].tolist(), right[i].tolist()
-            for j in m:
-                if nl[j] < ol[j]:
-                    count[order[j, nl[j] : ol[j]]] += 1
-                if nr[j] > orr[j]:
-                    count[order[j, orr[j] : nr[j]]] += 1
-            left[i], right[i] = new_left[a], new_right[a]
-            fresh = np.flatnonzero((count >= THRESHOLD) & (count < 128))
-            count[fresh] = 128  # verified; it may go on counting up to 168
+            verified, place, best = done.pop(i)
+            inside = places - left[a].astype(np.uint16)[:, None] < (right[a] - left[a]).astype(np.uint16)[:, None]  # wraps below the left end
+            hit = inside.sum(axis=0, dtype=np.uint8) >= THRESHOLD
+            fresh = np.flatnonzero(hit & ~verified)
+            verified[fresh] = True
             if spent is not None:
                 spent.append(len(fresh))
             if i in own:
                 fresh = fresh[fresh != own[i]]
-            score = np.einsum("ij,j->i", data[fresh], q_data[i])
-            place, best = np.concatenate([state[i][0], fresh]), np.concatenate([state[i][1], score])
+            place, best = np.concatenate([place, fresh]), np.concatenate([best, np.einsum("ij,j->i", data[fresh], q_data[i])])
             if len(place) > k:
-                keep = np.lexsort((place, -best))[:k] if len(place) < 64 else _top(place, best, k)
+                keep = _top(place, best, k)
                 place, best = place[keep], best[keep]
-            state[i] = (place, best)
-            whole = all(x == 0 for x in nl) and all(x == n for x in nr)
-            if whole or len(place) >= k and width[i] >= z * distance(best.min(), i):
+            if verified.all() or len(place) >= k and width[i] >= z * distance(best.min(), i):
                 out_q.append(np.full(len(place), i))
                 out_v.append(place)
                 out_s.append(best)
-                del hits[i], state[i]
             else:
+                done[i] = verified, place, best
                 width[i] *= WIDER
                 going.append(i)
         active = np.array(going, dtype=np.int64)
-    if not out_q:
-        return (np.empty(0, np.int64),) * 3
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
 def _top(place: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    by_place = np.argsort(place, kind="stable")
-    return by_place[first_k(score[by_place][None, :], k)[1]]
-
+    keep = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return keep if len(keep) == k else keep[np.lexsort((place[keep], -score[keep]))[:k]]
 
-def matcher(k: int, rows: int = 64):
-    def match(q_ids, q_data, ids, data):
-        found = [search_tile(q_ids[s : s + rows], q_data[s : s + rows], ids, data, k) for s in range(0, len(q_ids), rows)]
-        return tuple(np.concatenate([x[c] + (s * rows if c == 0 else 0) for s, x in enumerate(found)]) for c in range(3))
 
-    return match
+def matcher(k: int):
+    return lambda q_ids, q_data, ids, data: search_tile(q_ids, q_data, ids, data, k)
 
 
 def approximate_top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
