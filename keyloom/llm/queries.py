@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ann, mixing, secrets, sharding, tokenizing, topk, urls
+from . import ann, language, mixing, neardup, quality, secrets, sharding, tokenizing, topk, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -90,3 +90,19 @@ own AS (SELECT hp.url, hp.host, hp.path, arg_max(rules.rule, length(rules.rule))
 alias AS (SELECT r.a AS url, bool_or(o.verdict = 'block') AND NOT coalesce(bool_or(o.verdict = 'allow'), false) AS bad FROM reach r JOIN own o ON o.url = r.b GROUP BY 1)
 SELECT p.page_id, coalesce(o.host, '') AS host, coalesce(o.path, '') AS path, o.rule, coalesce(o.verdict, CASE WHEN alias.bad THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages p LEFT JOIN own o ON o.url = p.url LEFT JOIN alias ON alias.url = p.url"""
+
+
+@register
+def op2_marginal_unigrams(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_importance_resampling(spark, sf_dir):
+    drawn = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", "log_importance", "gumbel_key")
+
+
+@register
+def op6_grouped_prefix_join(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
