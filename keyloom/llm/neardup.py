@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, fresh, written
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -120,11 +120,11 @@ def _batch(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields], [name for name, _ in fields])
 
 
-CLASSED = "doc_id bigint, n int, class binary, token bigint, seen bigint"
+CLASSED = "doc_id bigint, text_key bigint, n int, class binary, token bigint, seen bigint"
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, class) for every document, and rows (token, seen) of shingles frequent within a task."""
+    """A row (doc_id, text_key, n, class) for every document, and rows (token, seen) of shingles frequent within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -138,7 +138,7 @@ def classify(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [_shingles().of(t.as_py()) for t in batch["text"]]
             classes = [class_of(s) for s in sets]
-            yield _batch(CLASSED, doc_id=batch["doc_id"], n=[len(s) for s in sets], **{"class": classes})
+            yield _batch(CLASSED, doc_id=batch["doc_id"], text_key=batch["text_key"], n=[len(s) for s in sets], **{"class": classes})
             for c, s in zip(classes, sets):
                 if len(s) and c not in held:
                     held[c] = s
@@ -149,7 +149,7 @@ def classify(docs: DataFrame) -> DataFrame:
         if held:
             yield report()
 
-    return docs.mapInArrow(run, CLASSED)
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, CLASSED)
 
 
 PACKED = "range bigint, data binary"
@@ -301,11 +301,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) for every row of ``docs``; component_id is the class's smallest doc_id."""
+    """(doc_id, text_key, n_shingles, class, root, component_id) for every row of ``docs``.
+
+    text_key is xxhash64 of the text, root the least class of the component (null without shingles)
+    and component_id its smallest doc_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     first = written(classify(docs))
-    rows = first.filter("class IS NOT NULL").select("doc_id", "n", "class")
+    rows = first.filter("class IS NOT NULL").select("doc_id", "text_key", "n", "class")
     often = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.col("seen").desc(), "token").limit(FREQUENT).toArrow()
     tokens, counts = often["token"].to_numpy().view(np.uint64), often["seen"].to_numpy()
     by = np.argsort(tokens)
@@ -351,7 +354,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = known.withColumnRenamed("node", "class").join(classes.select("class", "doc_id"), "class")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    linked = named.join(least, "component").select("class", "least")
-    labels = classes.join(linked, "class", "left").select("class", F.coalesce("least", "doc_id").alias("label"))
+    linked = named.join(least, "component").select("class", "least", "component")
+    labels = classes.join(linked, "class", "left").select("class", F.coalesce("least", "doc_id").alias("label"), F.coalesce("component", "class").alias("root"))
     out = rows.join(labels, "class", "left")
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").cast("bigint").alias("n_shingles"), "class", "root", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but one document for each component: its smallest doc_id (null last, then the smallest text hash).
+
+    Rows are named by (doc_id, text hash); of rows that repeat the kept one exactly, one stays.
+    Documents without shingles link with nothing and all stay.
+    """
+    key, id_ = fresh(docs, "_text_key", "_id")
+    found = written(near_duplicates(docs).filter("n_shingles > 0").select("doc_id", "text_key", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("f"))
+    rest = found.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_key") == F.col("f.text_key"))))
+    named = lambda df: df.select(F.col("text_key").alias(key), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_))
+    keyed = docs.withColumn(key, F.xxhash64("text")).withColumn(id_, F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")))
+    kept = keyed.join(named(rest).distinct(), [key, id_], "left_anti")
+    again = written(named(found).groupBy(key, id_).count().filter("count > 1").drop("count").join(named(rest).distinct(), [key, id_], "left_anti"))
+    if not again.isEmpty():
+        kept = kept.join(again, [key, id_], "left_anti").unionByName(kept.join(again, [key, id_], "left_semi").dropDuplicates([key, id_]))
+    return kept.select(*docs.columns)
