@@ -84,19 +84,17 @@ def components(edges: DataFrame) -> DataFrame:
     kind = edges.schema["a"].dataType
     nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    seen = None if not now.isEmpty() else ()
+    while seen != ():
         both = now.union(now.select("b", "a"))  # a knows b
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large.filter("a <> b"))
+        large = large.filter("a <> b")
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = written(small.filter("a <> b").distinct())
-        sign = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-        if seen is not None and tuple(sign) == seen:
-            break
-        seen = tuple(sign)
+        sign = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        seen = () if sign == seen else sign
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))
