@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, fresh, number_rows
+from .common import WORD, checkpointed, fresh, number_rows, written
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -74,14 +74,17 @@ def mix_documents(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WE
     Rows meet their counts by (doc_id, text hash, source). Rows equal in these share their
     counts: their sum is dealt out evenly among them.
     """
-    key, n, copies, nth = fresh(docs, "_key", "_n", "_copies", "_nth")
-    row_key = lambda text: F.xxhash64(F.lit(5), "doc_id", "source", text)
-    counts = mix_counts(docs, seed, weights, most).select(row_key("text_key").alias(key), F.coalesce("doc_id", F.lit(-1)).alias("_id"), "copies").groupBy(key, "_id").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(n))
-    left = docs.withColumn("_hash_", F.xxhash64("text")).withColumn(key, F.xxhash64(F.lit(5), F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("_hash_"))).drop("_hash_").withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)))
-    met = left.join(counts.filter(F.col(copies) > 0), [key, "_id"])
-    alone, several = met.filter(F.col(n) == 1), met.filter(F.col(n) > 1)
-    several = several.withColumn(nth, F.row_number().over(Window.partitionBy(key, "_id").orderBy(key)) - 1)
-    extra = (F.col(nth) < F.col(copies) % F.col(n)).cast("bigint")
-    several = several.withColumn(copies, F.floor(F.col(copies) / F.col(n)).cast("bigint") + extra).drop(nth)
-    out = alone.unionByName(several)
+    key, id_, n, copies, nth = fresh(docs, "_key", "_id", "_n", "_copies", "_nth")
+    row_key = lambda text_key: F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), text_key)
+    row_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))
+    counts = mix_counts(docs, seed, weights, most).select(row_key(F.col("text_key")).alias(key), row_id.alias(id_), "copies")
+    counts = written(counts.groupBy(key, id_).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(n)).filter(F.col(copies) > 0))
+    keyed = docs.withColumns({key: row_key(F.xxhash64("text")), id_: row_id})
+    out = keyed.join(counts.filter(F.col(n) == 1), [key, id_])
+    if not counts.filter(F.col(n) > 1).isEmpty():
+        several = keyed.join(counts.filter(F.col(n) > 1), [key, id_])
+        several = several.withColumn(nth, F.row_number().over(Window.partitionBy(key, id_).orderBy(key)) - 1)
+        extra = (F.col(nth) < F.col(copies) % F.col(n)).cast("bigint")
+        several = several.withColumn(copies, F.floor(F.col(copies) / F.col(n)).cast("bigint") + extra).drop(nth)
+        out = out.unionByName(several)
     return out.select(*[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))).alias(nth)).drop(nth)
