@@ -14,7 +14,7 @@ Jaccard similarity is 0.75 or more.
    the postings that are left are kept.
 3. First candidates are verified on whole sets and give provisional components. Then a shingle
    whose postings all lie in one component is done with; for the others every pair of different
-   components that passes the size and position filters is verified, however many there are. So
+   components that passes the filters is verified, however many there are. So
    no link is lost, and a large group of near copies costs about its size, not its square.
 4. Connected components over the verified links name each class by its smallest doc_id.
 
@@ -44,10 +44,10 @@ WORDS = 5
 LIKE = 75
 #: Shingles that the order puts last, at most; local counts from which a task reports one.
 FREQUENT, REPORTED = 200_000, 4
-#: Shingles that a task counts at a time, words and classes that it remembers.
-COUNTED, MEMORY = 2_000_000, 200_000
+#: Shingles that a task counts at a time, classes that it remembers, bytes that it hashes at a time.
+COUNTED, MEMORY, BLOCK = 1_000_000, 200_000, 1 << 20
 #: Postings of a range of hashes, about; those of a frequent shingle that stay together.
-RANGE_POSTINGS, TOGETHER = 1_500_000, 20_000
+RANGE_POSTINGS, TOGETHER = 400_000, 20_000
 #: Bits of the map of wanted documents: one megabyte.
 BITMAP = 23
 
@@ -63,33 +63,90 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Shingles:
-    """Sorted distinct shingle hashes of texts, with a bounded memory of words."""
+def _byte_values() -> np.ndarray:
+    """A random number for each byte; A-Z count as a-z."""
+    values = mixed(np.arange(1, 257, dtype=np.uint64) * ODD[0])
+    values[65:91] = values[97:123]
+    return values
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(h) < WORDS:
-            return mixed((h * ODD[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))
-        total = h[: len(h) - WORDS + 1] * ODD[0]
-        for j in range(1, WORDS):
-            total = total + h[j : len(h) - WORDS + 1 + j] * ODD[j]
-        return np.unique(mixed(total))
+BYTE = _byte_values()
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Multiplier of the rolling word hash, and its inverse modulo 2**64.
+ROLL = 0xD1342543DE82EF95
+UNROLL = pow(ROLL, -1, 2**64)
 
 
 @lru_cache(maxsize=1)
-def _shingles() -> Shingles:
-    return Shingles()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n + 1, ROLL, np.uint64), np.full(n + 1, UNROLL, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words in a stretch of bytes. ``breaks``: where a text starts, which also ends a word.
+
+    A word's hash is its stretch of a running sum of byte values times powers, shifted to the
+    word's start: a few array operations for all bytes together.
+    """
+    blank = BLANK[raw]
+    first, last = ~blank, ~blank
+    first[1:] &= blank[:-1]
+    last[:-1] &= blank[1:]
+    inside = breaks[(breaks > 0) & (breaks < len(raw))]
+    first[inside] = ~blank[inside]
+    last[inside - 1] = ~blank[inside - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(max(BLOCK, 1 << int(len(raw)).bit_length()))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTE[raw] * up[: len(raw)], out=total[1:])
+    return start, mixed((total[end] - total[start]) * down[start])
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; empty for null."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    starts, hashes, at, stop = [], [], int(ends[0]), int(ends[-1])
+    while at < stop:  # blocks end at white space or at the end of a text
+        to = min(stop, at + BLOCK)
+        while to < stop:
+            near = np.flatnonzero(BLANK[raw[to : to + BLOCK]])
+            text_end = int(ends[np.searchsorted(ends, to)])
+            cut = to + int(near[0]) if len(near) else to + BLOCK
+            to = min(cut, text_end, stop)
+            if len(near) or to == text_end:
+                break
+        start, h = word_hashes(raw[at:to], ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at)
+        starts.append(start + at)
+        hashes.append(h)
+        at = to
+    if not starts:
+        return [np.empty(0, np.uint64)] * len(texts)
+    word, h = np.concatenate(starts), np.concatenate(hashes)
+    bound = np.searchsorted(word, ends)
+    windows = max(0, len(h) - WORDS + 1)
+    total = h[:windows] * ODD[0]
+    for j in range(1, WORDS):
+        total += h[j : windows + j] * ODD[j]
+    total = mixed(total)
+    out = []
+    for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()):
+        if b - a >= WORDS:
+            s = np.sort(total[a : b - WORDS + 1])
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
+        elif b > a:
+            out.append(mixed((h[a:b] * ODD[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
+        else:
+            out.append(h[:0])
+    return out
 
 
 def class_of(shingles: np.ndarray) -> bytes:
@@ -131,12 +188,14 @@ def classify(docs: DataFrame) -> DataFrame:
         size = 0
 
         def report() -> pa.RecordBatch:
-            token, seen = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            all_ = np.sort(np.concatenate(list(held.values())))
+            first = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]]))
+            seen = np.diff(np.append(first, len(all_)))
             often = seen >= REPORTED
-            return _batch(CLASSED, token=token[often].view(np.int64), seen=seen[often])
+            return _batch(CLASSED, token=all_[first[often]].view(np.int64), seen=seen[often])
 
         for batch in batches:
-            sets = [_shingles().of(t.as_py()) for t in batch["text"]]
+            sets = shingle_sets(batch["text"])
             classes = [class_of(s) for s in sets]
             yield _batch(CLASSED, doc_id=batch["doc_id"], text_key=batch["text_key"], n=[len(s) for s in sets], **{"class": classes})
             for c, s in zip(classes, sets):
@@ -186,8 +245,7 @@ def pack_postings(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, range
             return _batch(PACKED, range=[*part[first].tolist(), *groups], data=[*data, *(b"".join(x) for x in groups.values())])
 
         for batch in batches:
-            for text in batch["text"]:
-                s = _shingles().of(text.as_py())
+            for s in shingle_sets(batch["text"]):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) > MEMORY:
@@ -274,7 +332,7 @@ def wanted_sets(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
             low = (ids ^ (ids >> BITMAP)) & ((1 << BITMAP) - 1)
             wanted = ((bitmap.value[low >> 6] >> (low & 63)) & 1).astype(bool) | batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
             texts = batch["text"].take(pa.array(np.flatnonzero(wanted)))
-            sets = [s for t in texts if len(s := _shingles().of(t.as_py()))]
+            sets = [s for s in shingle_sets(texts) if len(s)]
             for at in range(0, len(sets), 256):
                 some = sets[at : at + 256]
                 yield _batch("class binary, n int, shingles binary", n=[len(s) for s in some], shingles=[s.tobytes() for s in some], **{"class": [class_of(s) for s in some]})
@@ -300,6 +358,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
 
 
+def share_enough(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs of groups (g, h) whose prefixes share enough that the sets may be alike.
+
+    Of two prefixes, let x's end first in the order. A shared shingle then lies in both prefixes
+    or behind x's, so the overlap is at most the shared part of the prefixes and the rest of x.
+    ``prefixes`` need only hold shingles that several groups have. A group is alike to itself.
+    """
+    one = prefixes.select(F.col("group").alias("g"), F.col("tokens").alias("t1"), F.col("n").alias("n1"))
+    two = prefixes.select(F.col("group").alias("h"), F.col("tokens").alias("t2"), F.col("n").alias("n2"))
+    behind = F.greatest(*[F.expr(f"ceil({LIKE} * {n} / 100) - 1") for n in ("n1", "n2")])
+    most = F.size(F.array_intersect("t1", "t2")) + behind
+    alike = F.col("g").eqNullSafe(F.col("h")) | ((100 + LIKE) * most >= LIKE * (F.col("n1") + F.col("n2")))
+    return pairs.join(one, "g", "left").join(two, "h", "left").filter(alike).select(*pairs.columns)
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, n, shingles) of the classes in ``pairs``, written."""
+    wanted = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", "doc_id"))
+    return written(wanted_sets(docs, wanted.select("doc_id")).join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, class, root, component_id) for every row of ``docs``.
 
@@ -321,7 +400,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = shared.filter("kind = 'member'").select(F.col("a").alias("group"), "class").distinct()
     post = shared.filter("kind = 'post'").select("token", F.col("a").alias("group"), "n", "place")
     one = members.groupBy("group").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("several"))
-    pairs = shared.filter("kind = 'pair'").select(F.col("a").alias("g"), F.col("b").alias("h")).distinct()
+    prefixes = written(post.groupBy("group").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n")))
+    pairs = share_enough(shared.filter("kind = 'pair'").select(F.col("a").alias("g"), F.col("b").alias("h")).distinct(), prefixes)
     sizes = classes.select("class", "n")
     # several members of a group stand next to each other in a list of their own
     inner = members.join(one.filter("several > 1").select("group", F.col("class").alias("head")), "group").filter("class <> head")
@@ -329,28 +409,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     candidates = written(across.union(inner.select(F.col("head").alias("a"), F.col("class").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     # class-level postings of what is left, a group with several members being one more "token" for them
+    both = inner.select("group", "class").union(inner.select("group", F.col("head"))).distinct().join(sizes, "class")
     entry = written(
-        post.join(members, "group").select(F.xxhash64(F.lit("token"), "token").alias("list"), "token", "class", "n", "place")
-        .union(inner.select("group", "class").union(inner.select("group", F.col("head"))).distinct().join(sizes, "class").select(F.xxhash64(F.lit("group"), "group").alias("list"), F.col("group").alias("token"), "class", "n", F.lit(0).alias("place")))
+        post.join(members, "group").select(F.xxhash64(F.lit("token"), "token").alias("list"), "token", "group", "class", "n", "place")
+        .union(both.select(F.xxhash64(F.lit("group"), "group").alias("list"), F.col("group").alias("token"), "group", "class", "n", F.lit(0).alias("place")))
     )
-    wanted = entry.select("class").union(candidates.select("a")).union(candidates.select("b")).distinct()
-    ids = written(wanted.join(classes, "class").select("class", "doc_id"))
-    sets = written(wanted_sets(docs, ids.select("doc_id")).join(ids.select("class"), "class", "left_semi").dropDuplicates(["class"]))
-
-    links = written(verified(candidates, sets))
+    links = written(verified(candidates, sets_of(docs, candidates, classes)))
     known = components(links)
-    placed = entry.join(known.withColumnRenamed("node", "class"), "class", "left").select("list", "token", "class", "n", "place", F.coalesce("component", "class").alias("component"))
-    placed = written(placed)
+    placed = written(entry.join(known.withColumnRenamed("node", "class"), "class", "left").select("list", "token", "group", "class", "n", "place", F.coalesce("component", "class").alias("component")))
     mixed_lists = placed.groupBy("list", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list", "token")
     left = placed.join(mixed_lists, ["list", "token"])
-    right = left.select("list", "token", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
+    right = left.select("list", "token", F.col("group").alias("h"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
     rest = F.expr("n - place * n div 256"), F.expr("n2 - place2 * n2 div 256")
     passes = F.expr(f"class < class2 AND component <> component2 AND 100 * least(n, n2) >= {LIKE} * greatest(n, n2)") & ((100 + LIKE) * F.least(*rest) >= LIKE * (F.col("n") + F.col("n2")))
-    more = left.join(right, ["list", "token"]).filter(passes).select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
-    more = more.join(candidates, ["a", "b"], "left_anti")
-    second = written(verified(more, sets))
-    if not second.isEmpty():
-        known = components(links.union(second))
+    more = left.join(right, ["list", "token"]).filter(passes).select(F.col("group").alias("g"), "h", F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
+    more = written(share_enough(more, prefixes).select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        second = written(verified(more, sets_of(docs, more, classes)))
+        if not second.isEmpty():
+            known = components(links.union(second))
 
     named = known.withColumnRenamed("node", "class").join(classes.select("class", "doc_id"), "class")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
