@@ -7,10 +7,12 @@ piece; a word's probability is the sum over all of its segmentations, by a forwa
 and a text's log probability is the sum over its words. The prediction is the language of the
 greatest posterior under equal priors, which is the score.
 
-Training is one expectation step over all learning texts: with all pieces equally likely, the
+Training is one expectation step over the learning texts: with all pieces equally likely, the
 forward-backward algorithm gives the expected number of times that each piece is used, tasks add
-these up by language, and counts are smoothed towards those of all languages together. What
-reaches the driver is a row for each piece and language at most.
+these up by language, and counts are smoothed towards those of all languages together. The
+classifier is fitted to ``MOST_LEARNT`` labelled texts at most (whole ones, those whose ids have
+the least hashes; all if there are fewer). What reaches the driver is a row for each piece and
+language at most.
 
 Words are worked on in batches of equal length as arrays: places, not words, are looped over.
 Words beyond ``ARRAY_BYTES`` take the same recursions one by one, scaled against underflow.
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONGEST, ARRAY_BYTES = 12, 32
-#: Words that a task counts or remembers before it starts afresh, and texts' characters at a time.
-MEMORY, AT_ONCE = 150_000, 1_000_000
+#: Words that a task counts or remembers before it starts afresh, texts' characters and words worked on at a time.
+MEMORY, AT_ONCE, BATCH, LEARN_BATCH = 150_000, 4_000_000, 65_536, 8_192
+#: Texts that the classifier is fitted to, at most.
+MOST_LEARNT = 20_000
 #: Pseudo-counts spread over the pieces as all languages together use them, and the share of an even spread.
 PSEUDO, EVEN = 500.0, 1e-3
 MOST_LANGUAGES = 200
@@ -67,11 +71,14 @@ class Pieces:
         for m in _MULTIPLIERS:  # a piece whose place is taken goes to the next table
             at = (key[left] * np.uint64(m)) >> np.uint64(64 - bits)
             _, first = np.unique(at, return_index=True)
-            keys, ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            keys, ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.size, np.int32)
             keys[at[first]], ids[at[first]] = key[left[first]], left[first]
             self.tables.append((np.uint64(m), np.uint64(64 - bits), keys, ids))
             left = np.delete(left, first)
-            bits = 12
+            if len(self.tables) == 1:
+                self.later = np.zeros(1 << bits, bool)  # places of the first table that pieces of the others fall on too
+                self.later[(key[left] * np.uint64(m)) >> np.uint64(64 - bits)] = True
+            bits = 13
             if not len(left):
                 break
         if len(left):
@@ -79,25 +86,29 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes; ``size`` where there is none."""
-        out = np.full(h.shape, self.size, np.int32)
-        for m, shift, keys, ids in self.tables:
-            at = (h * m) >> shift
-            hit = (keys[at] == h) & (ids[at] >= 0)
-            out[hit] = ids[at[hit]]
+        m, shift, keys, ids = self.tables[0]
+        at = (h * m) >> shift
+        out = np.where(keys[at] == h, ids[at], self.size)
+        for m, shift, keys, ids in self.tables[1:]:  # few pieces, which a coarse map tells apart from the rest
+            rows = np.nonzero(self.later[at])
+            if not len(rows[0]):
+                break
+            rest = h[rows]
+            place = (rest * m) >> shift
+            hit = (keys[place] == rest) & (ids[place] < self.size)
+            out[tuple(r[hit] for r in rows)] = ids[place[hit]]
         return out
 
     def spans(self, words: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
         """(start, end) -> piece numbers, for words of one length."""
         n = len(words[0])
-        b = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n).astype(np.uint64) + np.uint64(1)
-        out = {}
-        for s in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for e in range(s + 1, min(n, s + self.longest) + 1):
-                h = h * _BASE + b[:, e - 1]
-                found = self.find(h)
-                if (found < self.size).any():
-                    out[s, e] = found
+        b = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
+        h, out = np.zeros_like(b), {}
+        for size in range(1, min(n, self.longest) + 1):
+            h = h[: n - size + 1] * _BASE + b[size - 1 :]
+            found = self.find(h)
+            for s in np.flatnonzero((found < self.size).any(axis=1)).tolist():
+                out[s, s + size] = found[s]
         return out
 
 
@@ -196,9 +207,10 @@ def train(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarr
         def settle() -> None:
             for lang, words in seen.items():
                 keys = [b" " + w.encode() for w in words]
-                for a in range(0, len(keys), 20_000):
-                    number = np.array(list(words.values())[a : a + 20_000], float)[:, None]
-                    total[lang] = total.get(lang, 0) + expected_counts(pieces, keys[a : a + 20_000], number, even)
+                number = np.fromiter(words.values(), float, len(words))[:, None]
+                for a in range(0, len(keys), LEARN_BATCH):
+                    some = slice(a, a + LEARN_BATCH)
+                    total[lang] = total.get(lang, 0) + expected_counts(pieces, keys[some], number[some], even)
             seen.clear()
 
         for batch in batches:
@@ -246,8 +258,8 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, path: str | No
             n = len(self.place)
             while n + len(new) > len(self.score):
                 self.score = np.concatenate([self.score, np.empty_like(self.score)])
-            for a in range(0, len(new), 20_000):
-                some = new[a : a + 20_000]
+            for a in range(0, len(new), BATCH):
+                some = new[a : a + BATCH]
                 self.score[n + a : n + a + len(some)] = log_words(pieces_of(path), [b" " + w.encode() for w in some], model.value)
             self.place.update(zip(new, range(n, n + len(new))))
 
@@ -283,7 +295,15 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, path: str | No
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learns from the documents that aren't held out and predicts all."""
-    languages, p = train(docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()), path)
+def learning_sample(docs: DataFrame, most: int = MOST_LEARNT) -> DataFrame:
+    """Labelled documents that aren't held out: those with the ``most`` least hashes of doc_id."""
+    order = F.xxhash64(F.col("doc_id").cast("bigint"))
+    usable = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    last = usable.select(order.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return usable.filter(order <= F.lit(last))
+
+
+def identify(docs: DataFrame, path: str | None = None, most: int = MOST_LEARNT) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score): learns from documents that aren't held out and predicts all."""
+    languages, p = train(learning_sample(docs, most), path)
     return predict(docs, languages, p, path).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
