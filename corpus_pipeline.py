@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import mixing, neardup, quality, secrets, tokenizing
-from keyloom.llm.common import written
+from keyloom.llm.common import discard, written
 from keyloom.sources.tables import table
 
 
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        discard(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

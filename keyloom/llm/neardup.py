@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, written
+from .common import components, discard, fresh, written
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -376,7 +376,9 @@ def share_enough(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, n, shingles) of the classes in ``pairs``, written."""
     wanted = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", "doc_id"))
-    return written(wanted_sets(docs, wanted.select("doc_id")).join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+    sets = written(wanted_sets(docs, wanted.select("doc_id")).join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+    discard(wanted)
+    return sets
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -414,7 +416,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         post.join(members, "group").select(F.xxhash64(F.lit("token"), "token").alias("list"), "token", "group", "class", "n", "place")
         .union(both.select(F.xxhash64(F.lit("group"), "group").alias("list"), F.col("group").alias("token"), "group", "class", "n", F.lit(0).alias("place")))
     )
-    links = written(verified(candidates, sets_of(docs, candidates, classes)))
+    sets = sets_of(docs, candidates, classes)
+    links = written(verified(candidates, sets))
+    discard(sets)
     known = components(links)
     placed = written(entry.join(known.withColumnRenamed("node", "class"), "class", "left").select("list", "token", "group", "class", "n", "place", F.coalesce("component", "class").alias("component")))
     mixed_lists = placed.groupBy("list", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list", "token")
@@ -424,8 +428,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     passes = F.expr(f"class < class2 AND component <> component2 AND 100 * least(n, n2) >= {LIKE} * greatest(n, n2)") & ((100 + LIKE) * F.least(*rest) >= LIKE * (F.col("n") + F.col("n2")))
     more = left.join(right, ["list", "token"]).filter(passes).select(F.col("group").alias("g"), "h", F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
     more = written(share_enough(more, prefixes).select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"))
+    discard(shared, prefixes, entry, placed, candidates)
     if not more.isEmpty():
-        second = written(verified(more, sets_of(docs, more, classes)))
+        sets = sets_of(docs, more, classes)
+        second = written(verified(more, sets))
+        discard(sets)
         if not second.isEmpty():
             known = components(links.union(second))
 
