@@ -48,6 +48,8 @@ FREQUENT, REPORTED = 200_000, 4
 COUNTED, MEMORY, BLOCK = 1_000_000, 200_000, 1 << 20
 #: Postings of a range of hashes, about; those of a frequent shingle that stay together.
 RANGE_POSTINGS, TOGETHER = 400_000, 20_000
+#: Orders in which a shingle's groups are put next to each other.
+ORDERS = 5
 #: Bits of the map of wanted documents: one megabyte.
 BITMAP = 23
 
@@ -171,7 +173,7 @@ def in_order(shingles: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np
 
 
 def _batch(schema: str, **columns) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
     fields = [x.split() for x in schema.split(", ")]
     n = max(len(x) for x in columns.values())
     return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields], [name for name, _ in fields])
@@ -275,11 +277,16 @@ def may_link(n1, n2, place1, place2):
     return (100 * small >= LIKE * large) & ((100 + LIKE) * np.minimum(rest1, rest2) >= LIKE * (n1 + n2))
 
 
-SHARED = "kind string, token bigint, a bigint, b bigint, n int, place int, class binary"
+SHARED = "kind string, token bigint, a bigint, b bigint, n int, place int, many boolean, class binary"
 
 
-def shared_postings(packed: DataFrame) -> DataFrame:
-    """Of each range: kind 'pair' (a, b) first candidates, 'post' (token, a, n, place), 'member' (a, class)."""
+def shared_postings(packed: DataFrame, salted: np.ndarray) -> DataFrame:
+    """Of each range: kind 'pair' (a, b) first candidates, 'post' (token, a, n, place, many), 'member' (a, class).
+
+    First candidates are neighbours in a shingle's list by size and in a few orders by hashes of
+    the group, the same for every shingle, so that most lists name the same pairs. ``many``: the
+    list has more than two groups (or is ``salted``), so neighbours aren't all of its pairs.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
@@ -302,16 +309,22 @@ def shared_postings(packed: DataFrame) -> DataFrame:
         twice = np.zeros(len(posts), bool)  # the same group from several tasks
         twice[1:] = (posts["token"][1:] == posts["token"][:-1]) & (posts["group"][1:] == posts["group"][:-1])
         posts = posts[~twice]
-        next_to = posts["token"][1:] == posts["token"][:-1]
-        left, right = posts[:-1][next_to], posts[1:][next_to]
-        good = may_link(left["n"].astype(np.int64), right["n"].astype(np.int64), left["place"], right["place"])
-        pairs = np.unique(np.stack([np.minimum(left["group"], right["group"])[good], np.maximum(left["group"], right["group"])[good]], axis=1), axis=0)
+        pairs = []
+        for k in range(ORDERS):
+            by = np.lexsort((mixed(posts["group"].view(np.uint64) ^ ODD[k - 1]), posts["token"])) if k else slice(None)
+            token, group, n, place = (posts[f][by] for f in ("token", "group", "n", "place"))
+            at = np.flatnonzero(token[1:] == token[:-1])
+            at = at[may_link(n[at].astype(np.int64), n[at + 1].astype(np.int64), place[at], place[at + 1])]
+            pairs.append(np.stack([np.minimum(group[at], group[at + 1]), np.maximum(group[at], group[at + 1])], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
         out.append(_batch(SHARED, kind=["pair"] * len(pairs), a=pairs[:, 0], b=pairs[:, 1]))
-        shared = np.zeros(len(posts), bool)
-        shared[1:] |= next_to
-        shared[:-1] |= next_to
+        first = np.flatnonzero(np.concatenate([[True], posts["token"][1:] != posts["token"][:-1]])) if len(posts) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(posts)))
+        size = np.repeat(size, size)
+        size[np.isin(posts["token"], salted)] = 3
+        shared, many = size > 1, size > 2
         kept = posts[shared]
-        out.append(_batch(SHARED, kind=["post"] * len(kept), token=kept["token"].view(np.int64), a=kept["group"], n=kept["n"], place=kept["place"].astype(np.int32)))
+        out.append(_batch(SHARED, kind=["post"] * len(kept), token=kept["token"].view(np.int64), a=kept["group"], n=kept["n"], place=kept["place"].astype(np.int32), many=many[shared]))
         return pa.Table.from_batches(out)
 
     return packed.groupBy("range").applyInArrow(run, SHARED)
@@ -397,10 +410,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     postings = classes.agg(F.sum(F.expr(f"n - ceil({LIKE} * n / 100) + 1"))).first()[0] or 0
     ranges = max(2 * spark.sparkContext.defaultParallelism, -(-int(postings) // RANGE_POSTINGS))
-    shared = written(shared_postings(pack_postings(docs, tokens, counts, ranges).repartition(2 * ranges, "range")))
+    shared = written(shared_postings(pack_postings(docs, tokens, counts, ranges).repartition(2 * ranges, "range"), tokens[counts >= TOGETHER]))
 
     members = shared.filter("kind = 'member'").select(F.col("a").alias("group"), "class").distinct()
-    post = shared.filter("kind = 'post'").select("token", F.col("a").alias("group"), "n", "place")
+    post = shared.filter("kind = 'post'").select("token", F.col("a").alias("group"), "n", "place", "many")
     one = members.groupBy("group").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("several"))
     prefixes = written(post.groupBy("group").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n")))
     pairs = share_enough(shared.filter("kind = 'pair'").select(F.col("a").alias("g"), F.col("b").alias("h")).distinct(), prefixes)
@@ -410,25 +423,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = pairs.join(one.select(F.col("group").alias("g"), F.col("class").alias("a")), "g").join(one.select(F.col("group").alias("h"), F.col("class").alias("b")), "h").select("a", "b")
     candidates = written(across.union(inner.select(F.col("head").alias("a"), F.col("class").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    # class-level postings of what is left, a group with several members being one more "token" for them
-    both = inner.select("group", "class").union(inner.select("group", F.col("head"))).distinct().join(sizes, "class")
-    entry = written(
-        post.join(members, "group").select(F.xxhash64(F.lit("token"), "token").alias("list"), "token", "group", "class", "n", "place")
-        .union(both.select(F.xxhash64(F.lit("group"), "group").alias("list"), F.col("group").alias("token"), "group", "class", "n", F.lit(0).alias("place")))
-    )
     sets = sets_of(docs, candidates, classes)
     links = written(verified(candidates, sets))
     discard(sets)
     known = components(links)
-    placed = written(entry.join(known.withColumnRenamed("node", "class"), "class", "left").select("list", "token", "group", "class", "n", "place", F.coalesce("component", "class").alias("component")))
-    mixed_lists = placed.groupBy("list", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list", "token")
-    left = placed.join(mixed_lists, ["list", "token"])
-    right = left.select("list", "token", F.col("group").alias("h"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
+    # what neighbours don't settle: lists of many groups, or with a group of several members (whose
+    # members make one more list). Classes and components go by 64 bits here; classes are named in
+    # full again before they are verified.
+    several = one.filter("several > 1").select("group")
+    few = post.filter("NOT many")
+    open_lists = post.filter("many").unionByName(few.join(few.join(several, "group").select("token").distinct(), "token", "left_semi"))
+    both = inner.select("group", "class").union(inner.select("group", F.col("head"))).distinct().join(sizes, "class")
+    entry = open_lists.join(members, "group").select("token", "group", "class", "n", "place").union(both.select(F.xxhash64("group", "group"), "group", "class", "n", F.lit(0)))
+    entry = entry.select("token", "group", F.xxhash64("class").alias("c"), "n", "place")
+    at = known.select(F.xxhash64("node").alias("c"), F.xxhash64("component").alias("component"))
+    placed = written(entry.join(at, "c", "left").select("token", "group", "c", "n", "place", F.coalesce("component", "c").alias("component")))
+    mixed_lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+    left = placed.join(mixed_lists, "token")
+    right = left.select("token", F.col("group").alias("h"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
     rest = F.expr("n - place * n div 256"), F.expr("n2 - place2 * n2 div 256")
-    passes = F.expr(f"class < class2 AND component <> component2 AND 100 * least(n, n2) >= {LIKE} * greatest(n, n2)") & ((100 + LIKE) * F.least(*rest) >= LIKE * (F.col("n") + F.col("n2")))
-    more = left.join(right, ["list", "token"]).filter(passes).select(F.col("group").alias("g"), "h", F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
-    more = written(share_enough(more, prefixes).select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"))
-    discard(shared, prefixes, entry, placed, candidates)
+    passes = F.expr(f"c < c2 AND component <> component2 AND 100 * least(n, n2) >= {LIKE} * greatest(n, n2)") & ((100 + LIKE) * F.least(*rest) >= LIKE * (F.col("n") + F.col("n2")))
+    more = share_enough(left.join(right, "token").filter(passes).select(F.col("group").alias("g"), "h", "c", "c2").distinct(), prefixes)
+    full = classes.select(F.xxhash64("class").alias("c"), F.col("class").alias("a"))
+    more = more.join(full, "c").join(full.select(F.col("c").alias("c2"), F.col("a").alias("b")), "c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(more.join(candidates, ["a", "b"], "left_anti"))
+    discard(shared, prefixes, placed, candidates)
     if not more.isEmpty():
         sets = sets_of(docs, more, classes)
         second = written(verified(more, sets))
