@@ -5,10 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window
 
 #: What separates words: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,8 +107,3 @@ def components(edges: DataFrame) -> DataFrame:
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))
-
-
-def void_safe(df: DataFrame, column: str, kind: T.DataType) -> Column:
-    """The column as ``kind``; nulls where the table lacks it."""
-    return F.col(column).cast(kind) if column in df.columns else F.lit(None).cast(kind)

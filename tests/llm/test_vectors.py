@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import ann, topk
 from keyloom.llm import vectors as tiled
@@ -34,11 +35,13 @@ def brute(rows, every, k, score, zero):
     return out
 
 
-def test_exact_top_k(spark, monkeypatch):
+def test_exact_top_k(spark):
     rows = random_rows(400) + [(600 + i, random_rows(1)[0][1]) for i in range(60)] + ODD + [(3, random_rows(400)[3][1])]
     score = lambda a, b: int((np.floor(256 * a) * np.floor(256 * b)).sum())
-    got = tiled.nearest(frame(spark, rows), "vec_id % 50 = 0", 5, topk.matcher(5), "bigint", True, rows=64, query_rows=5) if False else topk.exact_top_k(frame(spark, rows))
-    assert {tuple(r) for r in got.collect()} == brute(rows, 50, 5, score, True)
+    want = brute(rows, 50, 5, score, True)
+    assert {tuple(r) for r in topk.exact_top_k(frame(spark, rows)).collect()} == want
+    small = tiled.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, 5, topk.matcher(5), "bigint", True, rows=64, query_rows=5)
+    assert {tuple(r) for r in small.collect()} == want
     assert topk.exact_top_k(frame(spark, [])).count() == 0 and topk.exact_top_k(frame(spark, rows[:1])).count() == 0
 
 
