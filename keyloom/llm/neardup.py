@@ -44,8 +44,8 @@ WORDS = 5
 LIKE = 75
 #: Shingles that the order puts last, at most; local counts from which a task reports one.
 FREQUENT, REPORTED = 200_000, 4
-#: Shingles that a task counts at a time, classes that it remembers, bytes that it hashes at a time.
-COUNTED, MEMORY, BLOCK = 1_000_000, 200_000, 1 << 20
+#: Shingles that a task counts at a time, classes that it remembers, texts and bytes that it hashes at a time.
+COUNTED, MEMORY, SOME, BLOCK = 1_000_000, 200_000, 500, 1 << 20
 #: Postings of a range of hashes, about; those of a frequent shingle that stay together.
 RANGE_POSTINGS, TOGETHER = 400_000, 20_000
 #: Orders in which a shingle's groups are put next to each other.
@@ -86,12 +86,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words in a stretch of bytes. ``breaks``: where a text starts, which also ends a word.
-
-    A word's hash is its stretch of a running sum of byte values times powers, shifted to the
-    word's start: a few array operations for all bytes together.
-    """
+def word_places(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words in a stretch of bytes. ``breaks``: where a text starts, which also ends a word."""
     blank = BLANK[raw]
     first, last = ~blank, ~blank
     first[1:] &= blank[:-1]
@@ -99,35 +95,66 @@ def word_hashes(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nda
     inside = breaks[(breaks > 0) & (breaks < len(raw))]
     first[inside] = ~blank[inside]
     last[inside - 1] = ~blank[inside - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(max(BLOCK, 1 << int(len(raw)).bit_length()))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[raw] * up[: len(raw)], out=total[1:])
-    return start, mixed((total[end] - total[start]) * down[start])
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; empty for null."""
+def stretch_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end]: stretches of a running sum of values times powers, shifted to their start."""
+    up, down = _powers(max(BLOCK, 1 << int(len(values)).bit_length()))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mixed((total[end] - total[start]) * down[start])
+
+
+def word_hashes(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words, by a few array operations for all bytes together."""
+    start, end = word_places(raw, breaks)
+    return start, stretch_hashes(BYTE[raw], start, end)
+
+
+def stretches(texts: pa.Array) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """(offsets of the texts, stretches of their bytes): (offset, bytes, starts of texts in them). Nulls count as empty.
+
+    A stretch has ``BLOCK`` bytes or a few more: it ends at white space or at the end of a text.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    starts, hashes, at, stop = [], [], int(ends[0]), int(ends[-1])
-    while at < stop:  # blocks end at white space or at the end of a text
-        to = min(stop, at + BLOCK)
-        while to < stop:
-            near = np.flatnonzero(BLANK[raw[to : to + BLOCK]])
-            text_end = int(ends[np.searchsorted(ends, to)])
-            cut = to + int(near[0]) if len(near) else to + BLOCK
-            to = min(cut, text_end, stop)
-            if len(near) or to == text_end:
-                break
-        start, h = word_hashes(raw[at:to], ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at)
+
+    def cut() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        at, stop = int(ends[0]), int(ends[-1])
+        while at < stop:
+            to = min(stop, at + BLOCK)
+            while to < stop:
+                near = np.flatnonzero(BLANK[raw[to : to + BLOCK]])
+                text_end = int(ends[np.searchsorted(ends, to)])
+                to = min(to + int(near[0]) if len(near) else to + BLOCK, text_end, stop)
+                if len(near) or to == text_end:
+                    break
+            yield at, raw[at:to], ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at
+            at = to
+
+    return ends, cut()
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``SOME``: arrays over all words of a batch stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SOME):
+            yield batch.slice(at, SOME)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; empty for null."""
+    starts, hashes = [], []
+    ends, parts = stretches(texts)
+    for at, raw, breaks in parts:
+        start, h = word_hashes(raw, breaks)
         starts.append(start + at)
         hashes.append(h)
-        at = to
     if not starts:
         return [np.empty(0, np.uint64)] * len(texts)
     word, h = np.concatenate(starts), np.concatenate(hashes)
@@ -196,7 +223,7 @@ def classify(docs: DataFrame) -> DataFrame:
             often = seen >= REPORTED
             return _batch(CLASSED, token=all_[first[often]].view(np.int64), seen=seen[often])
 
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch["text"])
             classes = [class_of(s) for s in sets]
             yield _batch(CLASSED, doc_id=batch["doc_id"], text_key=batch["text_key"], n=[len(s) for s in sets], **{"class": classes})
@@ -246,7 +273,7 @@ def pack_postings(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, range
                 groups.setdefault(-1 - g % ranges, []).append(g.to_bytes(8, "little", signed=True) + c)
             return _batch(PACKED, range=[*part[first].tolist(), *groups], data=[*data, *(b"".join(x) for x in groups.values())])
 
-        for batch in batches:
+        for batch in slices(batches):
             for s in shingle_sets(batch["text"]):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
@@ -340,7 +367,7 @@ def wanted_sets(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
             low = (ids ^ (ids >> BITMAP)) & ((1 << BITMAP) - 1)
             wanted = ((bitmap.value[low >> 6] >> (low & 63)) & 1).astype(bool) | batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
