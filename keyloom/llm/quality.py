@@ -1,13 +1,14 @@
 """Importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Features of a text are hashed into ``BUCKETS``: each word, and one to three neighbouring word
-shapes (runs of small letters, capitals and digits, other characters as they are; a word that
-repeats the one before has a shape of its own). Two bag-of-n-gram models are counted: raw over
+shapes (runs of small letters, capitals, digits and of each other character; a word that repeats
+the one before has a shape of its own). Two bag-of-n-gram models are counted: raw over
 all documents, target over documents labelled good. With the raw counts brought to the target's
 mass and ``PSEUDO`` counts added to either, a document's log importance is the sum over its
 features of log target - log raw. Its key is that plus Gumbel noise drawn from its doc_id, and
 the k greatest keys are the sample: importance sampling without replacement. k is the number of
-documents that the target model explains at least as well as the raw one (log importance >= 0).
+documents that the target model explains nearly as well as the raw one or better (log importance
+of -``SLACK`` or more: a short text tells the two apart by little).
 
 The raw model counts every document. Target documents are a sample of ``MOST_TARGETS`` labelled
 ids at most (those of least hash), known to every task; that is the only bound. Keys are numbers
@@ -21,77 +22,54 @@ stay or go together. Labels that are null or repeated count once if any is good.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, number_rows
+from .neardup import ODD, mixed, slices, stretch_hashes, stretches, word_places
 
-BITS, PSEUDO, MOST_TARGETS = 16, 5.0, 50_000
+BITS, PSEUDO, MOST_TARGETS, SLACK = 16, 5.0, 50_000, 2.0
 BUCKETS = 1 << BITS
-#: Words whose hashes a task remembers.
-MEMORY = 200_000
-# Odd multipliers of the feature hashes and the shape of a repeated word.
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+# Fixed value: the shape of a repeated word.
 REPEATED = np.uint64(0x27D4EB2F165667C5)
 
-_RUNS = re.compile(r"[^\W\d_]+|[0-9]+|(.)\1*", re.DOTALL)
-
-
-def shape(word: str) -> str:
-    def one(m: re.Match) -> str:
-        s = m[0]
-        if not s[0].isalpha():
-            return "0" if s[0].isdigit() else s[0]
-        return "a" if s.islower() else "A" if s.isupper() and len(s) > 1 else "Aa" if s[0].isupper() and (len(s) == 1 or s[1:].islower()) else "Mx"
-
-    return _RUNS.sub(one, word[:64])
-
-
-class Features:
-    """Bucket numbers of a text's features."""
-
-    def __init__(self) -> None:
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.words = np.empty(1024, np.uint64)
-        self.shapes = np.empty(1024, np.uint64)
-
-    def _add(self, word: str) -> int:
-        n = self.place[word] = len(self.place)
-        if n == len(self.words):
-            self.words, self.shapes = (np.concatenate([x, np.empty_like(x)]) for x in (self.words, self.shapes))
-        self.words[n] = xxhash.xxh3_64_intdigest(word, 1)
-        self.shapes[n] = xxhash.xxh3_64_intdigest(shape(word), 2)
-        return n
-
-    def of(self, text: str | None) -> np.ndarray:
-        split = text.split() if text else []
-        if not split:
-            return np.empty(0, np.int64)
-        if len(self.place) > MEMORY:
-            self._reset()
-        known, add = self.place.get, self._add
-        at = np.array([add(w) if (n := known(w)) is None else n for w in split])
-        w, s = self.words[at], self.shapes[at]
-        s[1:][w[1:] == w[:-1]] = REPEATED
-        one, two, three = s * ODD[0], s[:-1] * ODD[0] + s[1:] * ODD[1], s[:-2] * ODD[0] + s[1:-1] * ODD[1] + s[2:] * ODD[2]
-        mixed = np.concatenate([w, one, two + ODD[1], three + ODD[2]])
-        mixed ^= mixed >> np.uint64(31)
-        return ((mixed * ODD[1]) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-@lru_cache(maxsize=1)
-def _features() -> Features:
-    return Features()
+#: Kinds of bytes: small letters (and all beyond ASCII), capitals, digits; others are a kind each.
+KIND = np.arange(256, dtype=np.uint8)
+KIND[97:123], KIND[128:], KIND[65:91], KIND[48:58] = 1, 1, 2, 3
+VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD[1])
+
+
+def features(texts: pa.Array) -> list[np.ndarray]:
+    """Bucket numbers of each text's features, by array operations over all texts together."""
+    starts, words, shapes = [], [], []
+    ends, parts = stretches(texts)
+    for at, raw, breaks in parts:
+        start, end = word_places(raw, breaks)
+        if not len(start):
+            continue
+        kind = KIND[raw]
+        new = np.ones(len(raw), bool)  # a run of a kind counts once
+        np.not_equal(kind[1:], kind[:-1], out=new[1:])
+        new[start] = True
+        place = np.concatenate([[0], np.cumsum(new)])
+        starts.append(start + at)
+        words.append(stretch_hashes(VALUE[raw], start, end))
+        shapes.append(stretch_hashes(VALUE[kind[new]], place[start], place[end]))
+    if not starts:
+        return [np.empty(0, np.int64)] * len(texts)
+    w, s = np.concatenate(words), np.concatenate(shapes)
+    bound = np.searchsorted(np.concatenate(starts), ends)
+    again = np.zeros(len(w), bool)
+    np.equal(w[1:], w[:-1], out=again[1:])
+    again[bound[:-1][bound[:-1] < len(w)]] = False
+    s = np.where(again, REPEATED, s)
+    two, three = s[:-1] * ODD[0] + s[1:] * ODD[1] + ODD[1], s[:-2] * ODD[0] + s[1:-1] * ODD[1] + s[2:] * ODD[2] + ODD[2]
+    w, one, two, three = (((h ^ (h >> np.uint64(31))) * ODD[1] >> np.uint64(64 - BITS)).astype(np.int64) for h in (w, s * ODD[0], two, three))
+    return [np.concatenate([w[a:b], one[a:b], two[a : max(a, b - 1)], three[a : max(a, b - 2)]]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
 
 
 def target_ids(labels: DataFrame, most: int = MOST_TARGETS) -> np.ndarray:
@@ -106,14 +84,14 @@ def log_ratios(docs: DataFrame, targets: np.ndarray) -> np.ndarray:
     ids = docs.sparkSession.sparkContext.broadcast(targets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, features = np.zeros((2, BUCKETS), np.int64), _features()
-        for batch in batches:
+        own = np.zeros((2, BUCKETS), np.int64)
+        for batch in slices(batches):
             is_target = np.isin(batch["doc_id"].to_numpy(zero_copy_only=False), ids.value)
-            for text, t in zip(batch["text"], is_target.tolist()):
-                found = np.bincount(features.of(text.as_py()), minlength=0)
-                own[1, : len(found)] += found
-                if t:
-                    own[0, : len(found)] += found
+            found = features(batch["text"])
+            own[1] += np.bincount(np.concatenate(found), minlength=BUCKETS)
+            good = [f for f, t in zip(found, is_target.tolist()) if t]
+            if good:
+                own[0] += np.bincount(np.concatenate(good), minlength=BUCKETS)
         some = np.flatnonzero(own[1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[0, some]), pa.array(own[1, some])], ["bucket", "target", "raw"])
 
@@ -131,9 +109,8 @@ def with_log_importance(docs: DataFrame, ratios: np.ndarray, name: str) -> DataF
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _features()
-        for batch in batches:
-            score = [float(table.value[found].sum()) if len(found := features.of(t.as_py())) else float("-inf") for t in batch.column(at)]
+        for batch in slices(batches):
+            score = [float(table.value[f].sum()) if len(f) else float("-inf") for f in features(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
@@ -153,7 +130,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 3, k: int | None =
     narrow = with_log_importance(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ratios, "w").drop("text")
     keys = checkpointed(narrow.filter(F.col("w") > float("-inf")).select("w", (F.col("w") + gumbel(F.col("doc_id"), seed)).alias("key")))
     if k is None:
-        k = keys.filter("w >= 0").count()
+        k = keys.filter(F.col("w") >= -SLACK).count()
     last = number_rows(keys.select((-F.col("key")).alias("key")), ["key"]).filter(F.col("row_number") == k - 1).head()
     scored = with_log_importance(docs, ratios, weight).withColumn(key, F.col(weight) + gumbel(F.col("doc_id"), seed))
     if last is None:  # k is 0 or more than there are

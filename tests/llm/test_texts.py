@@ -251,8 +251,18 @@ def test_gumbel_noise_is_standard(spark):
     assert abs(x.mean() - 0.5772) < 0.05 and abs(x.std() - 1.2825) < 0.05
 
 
-def test_shapes():
-    assert [quality.shape(w) for w in ["The", "the,", "NDOU!!", "|", "on%%%", "A1-b", "é"]] == ["Aa", "a,", "A!", "|", "a%", "Aa0-a", "a"]
+def test_features():
+    import pyarrow as pa
+
+    texts = ["The cat", "A!! A!!", None, "", "the the", "The dog ", " é\tx9"]
+    found = quality.features(pa.array(texts))
+    assert [len(f) for f in found] == [5, 5, 0, 0, 5, 5, 5]
+    one = [quality.features(pa.array([t], pa.string()))[0].tolist() for t in texts]
+    assert [f.tolist() for f in found] == one  # neighbours don't matter
+    shape = lambda t: quality.features(pa.array([t]))[0][1]  # noqa: E731  of a single word
+    assert shape("The") == shape("Dogs") == shape("Élan".replace("É", "E")) and shape("cat") == shape("été") != shape("CAT") == shape("NDOU")
+    assert shape("on%%%") == shape("ab%") != shape("ab$") and shape("a1") == shape("zz77") != shape("a")
+    assert found[4][3] != found[0][3]  # a repeated word has its own shape
 
 
 # ---- pipeline
