@@ -34,7 +34,7 @@ CHUNK, OVERLAP = 65_536, 2_048
 #: The longest contraction of the pattern: what a match may need to see after its end.
 AHEAD = 3
 #: Pieces whose tokens a task remembers, and the longest of them.
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 120_000, 64
 #: Longer pieces are merged by a heap; the library's own loop is quadratic.
 HEAP_FROM = 400
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
