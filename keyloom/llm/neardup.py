@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, fresh, written
+from .common import components, discard, fresh, lean, written
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -237,7 +237,7 @@ def classify(docs: DataFrame) -> DataFrame:
         if held:
             yield report()
 
-    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, CLASSED)
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(run), CLASSED)
 
 
 PACKED = "range bigint, data binary"
@@ -294,7 +294,7 @@ def pack_postings(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, range
         if held:
             yield send()
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("text").mapInArrow(lean(run), PACKED)
 
 
 def may_link(n1, n2, place1, place2):
@@ -377,7 +377,7 @@ def wanted_sets(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
                 some = sets[at : at + 256]
                 yield _batch("class binary, n int, shingles binary", n=[len(s) for s in some], shingles=[s.tobytes() for s in some], **{"class": [class_of(s) for s in some]})
 
-    return docs.mapInArrow(run, "class binary, n int, shingles binary")
+    return docs.mapInArrow(lean(run), "class binary, n int, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(lean(run), "a binary, b binary")
 
 
 def share_enough(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:

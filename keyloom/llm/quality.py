@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, number_rows
+from .common import checkpointed, fresh, lean, number_rows
 from .neardup import ODD, mixed, slices, stretch_hashes, stretches, word_places
 
 BITS, PSEUDO, MOST_TARGETS, SLACK = 16, 5.0, 50_000, 2.0
@@ -95,7 +95,7 @@ def log_ratios(docs: DataFrame, targets: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(own[1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[0, some]), pa.array(own[1, some])], ["bucket", "target", "raw"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "bucket bigint, target bigint, raw bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(count), "bucket bigint, target bigint, raw bigint")
     sums = rows.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()  # at most BUCKETS rows
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     target[sums["bucket"].to_numpy()], raw[sums["bucket"].to_numpy()] = sums["target"].to_numpy(), sums["raw"].to_numpy()
@@ -114,7 +114,7 @@ def with_log_importance(docs: DataFrame, ratios: np.ndarray, name: str) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -107,7 +109,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             spans = [[dict(zip(("kind", "start", "end", "novelty"), s)) for s in all_spans(t.as_py())] for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, spans {SPANS}")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run), f"doc_id bigint, spans {SPANS}")
 
 
 def redact(text: str | None) -> str | None:
@@ -135,4 +137,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 columns[n] = pa.array([c if a == b else len(b) for a, b, c in zip(old, new, batch.column(n).to_pylist())], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 CHUNK, OVERLAP = 65_536, 2_048
 #: The longest contraction of the pattern: what a match may need to see after its end.
 AHEAD = 3
@@ -251,10 +253,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
         ends = stitch(text, [(s, e) for s, _, e in found], chunk + overlap, c.ends)
         return pa.Table.from_batches([rows([finished(c, table["doc_id"][0].as_py(), c.encode_pieces(pieces_of(text, ends)))])])
 
-    short = narrow.filter(F.octet_length("text") <= chunk).mapInArrow(whole, schema)
+    short = narrow.filter(F.octet_length("text") <= chunk).mapInArrow(lean(whole), schema)
     long = narrow.filter(F.octet_length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
-    chunks = long.mapInArrow(cut, "doc_id bigint, uid bigint, start bigint, text string").repartition("uid", "start")
-    stitched = chunks.mapInArrow(bounded, "doc_id bigint, uid bigint, start bigint, text string, ends array<int>").groupBy("uid").applyInArrow(joined, schema)
+    chunks = long.mapInArrow(lean(cut), "doc_id bigint, uid bigint, start bigint, text string").repartition("uid", "start")
+    stitched = chunks.mapInArrow(lean(bounded), "doc_id bigint, uid bigint, start bigint, text string, ends array<int>").groupBy("uid").applyInArrow(joined, schema)
     return short.unionByName(stitched)
 
 
@@ -268,4 +270,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             raw = [None if (ids := x.as_py()) is None else c.decode(ids) for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id bigint, decoded binary")
