@@ -4,8 +4,11 @@ The patterns give the base spans, leftmost and without overlaps for each kind. T
 strings that a pattern misses: in a document with a sensitive word, each long string close after
 such a word is a candidate; the compressor is primed with a list of common identifiers and with
 the text around the candidate, and the bytes that the candidate adds to the compressed context
-are its novelty. A candidate that mixes letters and digits and hardly compresses is reported as
-kind ``novel`` unless a base span overlaps it. Spans are in code points, the end exclusive.
+are its novelty. What "=" joins is told apart, so in NAME=value the value is the candidate and a
+sensitive word in the name is close to it however long the name is; if no part of such a string
+is reported, the string is judged as a whole. A candidate that hardly compresses is reported as
+kind ``novel`` if it has a letter and a digit, or any characters if "=" gives it to a sensitive
+name, unless a base span overlaps it. Spans are in code points, the end exclusive.
 
 Defined cases: null or empty text has no spans; repeated rows are scanned each for itself.
 Whole texts are read, in one pass, and a candidate costs the same however long its text is.
@@ -14,7 +17,9 @@ Whole texts are read, in one pass, and a candidate costs the same however long i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -34,7 +39,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = re.compile(r"passw|passwd|secret|token|api[_ -]?key|credential|private[_ -]?key|access[_ -]?key|bearer|signature", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("passw", "secret", "token", "api", "credential", "private", "access", "bearer", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: What "=" joins in a candidate (padding stays with its value), and a name with "=" before a value.
+PART = re.compile(r"[A-Za-z0-9+/_-]+=*")
+ASSIGNED = re.compile(r"""(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++["']?\x20*=+\x20*["']?\Z""")
 #: How far before a candidate a sensitive word may end; characters around it that prime the compressor.
 NEAR, AROUND = 48, 1_024
 #: Added bytes for each character from which a candidate is incompressible.
@@ -79,18 +88,30 @@ def novel_spans(text: str, base: list[tuple]) -> Iterator[tuple[str, int, int, f
         return
     words = [m.end() for m in SENSITIVE.finditer(text)]
     taken = sorted((a, b) for _, a, b, _ in base)
-    i = j = 0
-    for m in CANDIDATE.finditer(text) if words else ():
-        a, b = m.span()
-        while i < len(words) and words[i] < a - NEAR:
-            i += 1
-        while j < len(taken) and taken[j][1] <= a:
-            j += 1
-        near = i < len(words) and words[i] <= a
-        s = m[0]
-        if near and not (j < len(taken) and taken[j][0] < b) and sum(c.isdigit() for c in s) >= 3 and any(c.isalpha() for c in s) and (score := novelty(text, a, b)) >= NOVELTY:
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+    def judged(a: int, b: int, lead: int) -> Iterator[tuple[str, int, int, float | None]]:
+        """The candidate from a to b as a span if it is one; ``lead`` is the start of a name that is joined to it, else a."""
+        i = bisect_left(words, min(a - NEAR, lead))
+        before = bisect_left(starts, b)
+        if i == len(words) or words[i] > a or before and ends[before - 1] > a:
+            return
+        s = text[a:b]
+        named = ASSIGNED.search(text[min(lead, max(0, a - NEAR)) : a])
+        sure = named and SENSITIVE.search(named[0])  # the value of a sensitive name: the compressor alone decides
+        if (sure or any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) and (score := novelty(text, a, b)) >= NOVELTY:
             yield "novel", a, b, score
 
+    for m in CANDIDATE.finditer(text) if words else ():
+        parts = [p.span() for p in PART.finditer(text, *m.span())]
+        found = []
+        for n, (a, b) in enumerate(parts):
+            if n + 1 < len(parts):  # what stands before "=" and more is a name, or a value without its padding
+                b = a + len(text[a:b].rstrip("="))
+            if b - a >= LEAST:
+                found += judged(a, b, parts[n - 1][0] if n else a)
+        yield from found or (judged(*m.span(), m.start()) if len(parts) != 1 or parts[0] != m.span() else ())
+
 
 def all_spans(text: str | None) -> list[tuple[str, int, int, float | None]]:
     """Base and novel spans by start, then kind."""

@@ -94,6 +94,26 @@ def test_novelty_reports_random_strings_only():
     assert secrets.novelty(text, text.index(key), text.index(key) + 32) > 0.9
 
 
+@pytest.mark.parametrize("name", ["aws_secret_access_key", "SECRET_KEY", "private_key", "credential", "secret_" + "of_a_long_name_" * 5])
+def test_values_joined_to_a_sensitive_name(name):
+    rng = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    few = "".join(rng.choice(alphabet) for _ in range(18))
+    many = "".join(rng.choice(alphabet + "0123456789+/") for _ in range(38))
+    for value in (many, many + "==", few[:9] + "7" + few[9:], few):
+        for text in (f"{name}={value}", f"set x=1 {name}={value} then go", f"a={name}={value}\n"):
+            assert [(k, text[a:b]) for k, a, b, _ in secrets.all_spans(text)] == [("novel", value)]
+            assert secrets.redact(text) == text.replace(value, "[secret]")
+
+
+def test_novel_strings_with_few_digits():
+    for key in ("qXvJtRzLmWbKpDhYcG4s", "qXvJtRzLmWbKpD2hYcG4s"):
+        assert [k for k, *_ in secrets.all_spans(f"the credential is {key} today")] == ["novel"]
+    assert not secrets.all_spans("the credential is characteristically short")
+    text = "credentials: user=q7Xv2JtR9zLm4 x"  # no part is long, the whole is
+    assert [text[a:b] for _, a, b, _ in secrets.all_spans(text)] == ["user=q7Xv2JtR9zLm4"]
+
+
 def test_scan_and_redact_documents(spark):
     key = "ab12" * 10
     rows = [(1, f"é token = '{key}' x", "en"), (2, None, None), (3, "", "en"), (1, f"é token = '{key}' x", "en"), (None, "plain", None), (9, "password=hunter22 " + "z " * 50_000, "en")]
