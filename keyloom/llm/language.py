@@ -9,10 +9,9 @@ greatest posterior under equal priors, which is the score.
 
 Training is one expectation step over the learning texts: with all pieces equally likely, the
 forward-backward algorithm gives the expected number of times that each piece is used, tasks add
-these up by language, and counts are smoothed towards those of all languages together. The
-classifier is fitted to ``MOST_LEARNT`` labelled texts at most (whole ones, those whose ids have
-the least hashes; all if there are fewer). What reaches the driver is a row for each piece and
-language at most.
+these up by language, and counts are smoothed towards those of all languages together. All labelled
+texts that aren't held out are learnt from, so every language of theirs can be predicted. What
+reaches the driver is a row for each piece and language at most.
 
 Words are worked on in batches of equal length as arrays: places, not words, are looped over.
 Words beyond ``ARRAY_BYTES`` take the same recursions one by one, scaled against underflow.
@@ -41,8 +40,6 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONGEST, ARRAY_BYTES = 12, 32
 #: Words that a task counts or remembers before it starts afresh, texts' characters and words worked on at a time.
 MEMORY, AT_ONCE, BATCH, LEARN_BATCH = 150_000, 4_000_000, 65_536, 8_192
-#: Texts that the classifier is fitted to, at most.
-MOST_LEARNT = 20_000
 #: Pseudo-counts spread over the pieces as all languages together use them, and the share of an even spread.
 PSEUDO, EVEN = 500.0, 1e-3
 MOST_LANGUAGES = 200
@@ -295,15 +292,12 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, path: str | No
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-def learning_sample(docs: DataFrame, most: int = MOST_LEARNT) -> DataFrame:
-    """Labelled documents that aren't held out: those with the ``most`` least hashes of doc_id."""
-    order = F.xxhash64(F.col("doc_id").cast("bigint"))
-    usable = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    last = usable.select(order.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return usable.filter(order <= F.lit(last))
+def learning_rows(docs: DataFrame) -> DataFrame:
+    """All labelled documents that aren't held out."""
+    return docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
 
 
-def identify(docs: DataFrame, path: str | None = None, most: int = MOST_LEARNT) -> DataFrame:
+def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learns from documents that aren't held out and predicts all."""
-    languages, p = train(learning_sample(docs, most), path)
+    languages, p = train(learning_rows(docs), path)
     return predict(docs, languages, p, path).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -248,6 +248,13 @@ def test_identify(spark):
     assert {r["lang_pred"] for r in language.identify(frame(spark, [(0, "the", None)])).collect()} == {"und"}
 
 
+def test_rare_languages_are_learnt(spark):
+    ids = spark.range(31_000).filter(~language.held_out(F.col("id"))).orderBy(F.xxhash64("id").desc()).limit(3)
+    rare = [r["id"] for r in ids.collect()]
+    docs = spark.range(31_000).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(rare), "vesi talo puu").otherwise("the water").alias("text"), F.when(F.col("id").isin(rare), "fi").otherwise("en").alias("lang"))
+    assert {r["lang_pred"] for r in language.identify(docs).filter(F.col("doc_id").isin(rare)).collect()} == {"fi"}
+
+
 # ---- quality
 
 
