@@ -1,7 +1,7 @@
 """Language identification by unigrams marginalised over all segmentations.
 
-A fixed public byte-level vocabulary gives the pieces (those of ``LONGEST`` bytes at most; all
-single bytes are among them, so any text can be segmented). A word is a run of letters in lower
+A fixed public byte-level vocabulary gives the pieces (all single bytes are among them, so any
+text can be segmented). A word is a run of letters in lower
 case behind a blank, and no piece goes beyond one. Each language has a probability for each
 piece; a word's probability is the sum over all of its segmentations, by a forward algorithm,
 and a text's log probability is the sum over its words. The prediction is the language of the
@@ -14,7 +14,7 @@ texts that aren't held out are learnt from, so every language of theirs can be p
 reaches the driver is a row for each piece and language at most.
 
 Words are worked on in batches of equal length as arrays: places, not words, are looped over.
-Words beyond ``ARRAY_BYTES`` take the same recursions one by one, scaled against underflow.
+Words beyond ``ARRAY_BYTES`` take the same recursions one by one, whole, in logarithms.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0, as is every text when
 nothing can be learnt from; on equal posteriors the least language in code-point order wins; a
@@ -24,7 +24,6 @@ null doc_id is held out of nothing and not learnt from. Predictions read the tex
 from __future__ import annotations
 
 import base64
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,13 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-LONGEST, ARRAY_BYTES = 12, 32
+ARRAY_BYTES = 32
 #: Words that a task counts or remembers before it starts afresh, texts' characters and words worked on at a time.
 MEMORY, AT_ONCE, BATCH, LEARN_BATCH = 150_000, 4_000_000, 65_536, 8_192
+#: Sums below this are formed again in logarithms.
+TINY = 1e-280
 #: Pseudo-counts spread over the pieces as all languages together use them, and the share of an even spread.
 PSEUDO, EVEN = 500.0, 1e-3
 MOST_LANGUAGES = 200
 WORDS = re.compile(r"[^\W\d_]+")
+IN_WORDS = re.compile(rb" ?[a-z\x80-\xff]*")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _BASE = np.uint64(0x100000001B3)
 
@@ -51,10 +53,13 @@ _BASE = np.uint64(0x100000001B3)
 class Pieces:
     """Numbers of the vocabulary's pieces, for byte strings and for arrays of rolling hashes."""
 
-    def __init__(self, path: str, longest: int = LONGEST) -> None:
+    def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
-            pieces = sorted(p for p in (base64.b64decode(a) for a, _ in map(bytes.split, lines)) if len(p) <= longest)
-        self.longest, self.number = longest, {p: i for i, p in enumerate(pieces)}
+            pieces = sorted(base64.b64decode(a) for a, _ in map(bytes.split, lines))
+        self.number = {p: i for i, p in enumerate(pieces)}
+        #: Lengths of pieces that words can hold: a blank comes first only, other ASCII bytes are lower-case letters.
+        self.lengths = sorted({len(p) for p in pieces if IN_WORDS.fullmatch(p)})
+        self.longest = self.lengths[-1]
         self.size = len(pieces)
         key = np.zeros(self.size, np.uint64)
         for i, p in enumerate(pieces):
@@ -103,6 +108,8 @@ class Pieces:
         h, out = np.zeros_like(b), {}
         for size in range(1, min(n, self.longest) + 1):
             h = h[: n - size + 1] * _BASE + b[size - 1 :]
+            if size not in self.lengths:
+                continue
             found = self.find(h)
             for s in np.flatnonzero((found < self.size).any(axis=1)).tolist():
                 out[s, s + size] = found[s]
@@ -125,6 +132,12 @@ def _by_length(words: list[bytes]) -> tuple[dict[int, list[int]], list[int]]:
     return short, long
 
 
+def _ending(pieces: Pieces, word: bytes, e: int) -> list[tuple[int, int]]:
+    """(start, piece number) of the pieces that end at place ``e`` of the word."""
+    found = [(e - size, pieces.number.get(word[e - size : e])) for size in pieces.lengths if size <= e]
+    return [(s, number) for s, number in found if number is not None]
+
+
 def log_words(pieces: Pieces, words: list[bytes], p: np.ndarray) -> np.ndarray:
     """log probability of each word for each column of ``p`` (pieces x languages): the sum over segmentations."""
     out = np.zeros((len(words), p.shape[1]))
@@ -136,24 +149,17 @@ def log_words(pieces: Pieces, words: list[bytes], p: np.ndarray) -> np.ndarray:
         alpha[0] = 1.0
         for (s, e), found in sorted(spans.items()):
             alpha[e] += alpha[s] * padded[found]
-        out[own] = np.log(alpha[n])
+        small = (alpha[n] < TINY).any(axis=1)
+        long += [i for i, x in zip(own, small) if x] if small.any() else []
+        out[own] = np.log(np.maximum(alpha[n], TINY))
+    with np.errstate(divide="ignore"):
+        logs = np.log(p) if long else p
     for i in long:
-        w, scale = words[i], 0.0
-        recent = [np.ones(p.shape[1])]  # the last LONGEST sums, scaled alike
-        for e in range(1, len(w) + 1):
-            total = np.zeros(p.shape[1])
-            for back in range(1, min(len(recent), pieces.longest) + 1):
-                number = pieces.number.get(w[e - back : e])
-                if number is not None:
-                    total = total + recent[-back] * p[number]
-            recent.append(total)
-            recent = recent[-pieces.longest :]
-            if e % 8 == 0:
-                top = max(x.max() for x in recent)
-                recent = [x / top for x in recent]
-                scale += math.log(top)
-        with np.errstate(divide="ignore"):
-            out[i] = np.log(recent[-1]) + scale
+        recent = [np.zeros(p.shape[1])]  # the logarithms of the sums that a piece may follow
+        for e in range(1, len(words[i]) + 1):
+            ends = [recent[s - e] + logs[number] for s, number in _ending(pieces, words[i], e)]
+            recent = [*recent[1 - pieces.longest :], np.logaddexp.reduce(ends, axis=0) if ends else np.full(p.shape[1], -np.inf)]
+        out[i] = recent[-1]
     return out
 
 
@@ -175,9 +181,26 @@ def expected_counts(pieces: Pieces, words: list[bytes], counts: np.ndarray, p: n
         repeat = np.tile(np.arange(len(own)), len(used))
         for c in range(counts.shape[1]):
             out[:, c] += np.bincount(number, use * counts[own, c][repeat], minlength=pieces.size + 1)
-    for i in long:  # by stretches: a long run is counted piecewise
-        stretch = [words[i][a : a + ARRAY_BYTES] for a in range(0, len(words[i]), ARRAY_BYTES)]
-        out[:-1] += expected_counts(pieces, stretch, np.repeat(counts[[i]], len(stretch), axis=0), p)
+    with np.errstate(divide="ignore"):
+        logs = np.log(p) if long else p
+    for i in long:
+        w, n = words[i], len(words[i])
+        edges = [(s, e, number) for e in range(1, n + 1) for s, number in _ending(pieces, w, e)]
+        start, end, number = (np.array(x) for x in zip(*edges))
+        cost = logs[number]
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0.0
+        cuts = np.searchsorted(end, np.arange(n + 2))  # edges come by their ends
+        for e in range(1, n + 1):
+            own = slice(cuts[e], cuts[e + 1])
+            alpha[e] = np.logaddexp.reduce(alpha[start[own]] + cost[own])
+        by_start = np.argsort(start, kind="stable")
+        cuts = np.searchsorted(start[by_start], np.arange(n + 2))
+        for s in range(n - 1, -1, -1):
+            own = by_start[cuts[s] : cuts[s + 1]]
+            beta[s] = np.logaddexp.reduce(cost[own] + beta[end[own]])
+        use = np.bincount(number, np.exp(alpha[start] + cost + beta[end] - alpha[n]), minlength=pieces.size + 1)
+        out += use[:, None] * counts[i]
     return out[:-1]
 
 

@@ -231,6 +231,22 @@ def test_expected_counts_cover_each_word(pieces):
     assert np.isclose((uses[:, 0] * size).sum(), 4 + 2 * 6 + 91)
 
 
+def test_long_pieces_and_words_are_counted_whole(pieces):
+    p = np.full(pieces.size, 1 / pieces.size)
+    number = pieces.number[b" relationship"]
+    assert language.expected_counts(pieces, [b" relationship"], np.ones((1, 1)), p)[number, 0] > 0.9
+    long = [b" " + b"relationships" * 5, " отношения".encode() * 1 + "отношения".encode() * 4]
+    counts = np.array([[1.0, 2.0], [3.0, 0.0]])
+    got, sums = language.expected_counts(pieces, long, counts, p), language.log_words(pieces, long, p[:, None])
+    short = language.ARRAY_BYTES
+    try:
+        language.ARRAY_BYTES = 200
+        assert np.allclose(got, language.expected_counts(pieces, long, counts, p))
+        assert np.allclose(sums, language.log_words(pieces, long, p[:, None]))
+    finally:
+        language.ARRAY_BYTES = short
+
+
 def test_identify(spark):
     rng = random.Random(7)
     bags = {"en": "the of and thing water under house".split(), "de": "der und nicht straße wasser haus über".split()}
