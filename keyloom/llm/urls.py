@@ -65,17 +65,31 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.array_max(F.transform(fitting, lambda r: F.struct(r["length"], r["verdict"], r["rule"])))
 
 
-def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's url and the address that it names as canonical or redirects to; root-relative ones are resolved."""
-    page = F.col("url")
+def resolved(to: Column, page: Column) -> Column:
+    """The absolute url that ``to`` names on a page; null for a fragment, another kind of scheme, or a page without "://"."""
     root = F.regexp_extract(page, r"^[^:/?#]*://[^/?#]*", 0)
+    path = F.regexp_extract(page, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
+    full = F.when(to.startswith("/"), to).when(to.startswith("?"), F.concat(path, to)).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), to))
+    own, rest = F.regexp_extract(full, r"^[^?#]*", 0), F.regexp_extract(full, r"(?s)^[^?#]*(.*)$", 1)
+    steps = F.split(F.regexp_replace(own, "^/", ""), "/", -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(steps, none, lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    kept = F.concat(kept, F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none))
+    plain = F.when(own.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(own)
+    beside = F.when((root != "") & (to != "") & ~to.startswith("#"), F.concat(root, plain, rest))
+    scheme = F.regexp_extract(page, r"^[^:/?#]*:", 0)
+    return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(F.instr(to, "://") > 0, to)).when(to.startswith("//"), F.concat(scheme, to)).otherwise(beside)
+
+
+def page_edges(pages: DataFrame) -> DataFrame:
+    """(a, b): a page's url and each address that it names as canonical or redirects to, resolved against the url."""
 
     def named(tag: str, attribute: str) -> Column:
-        to = F.replace(F.regexp_extract(F.regexp_extract("html", tag, 0), attribute, 1), F.lit("&amp;"), F.lit("&"))
-        return F.when(F.instr(to, "://") > 0, to).when(to.startswith("//"), F.concat(F.regexp_extract(page, r"^[^:/?#]*:", 0), to)).when(to.startswith("/"), F.concat(root, to))
+        return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.replace(F.regexp_extract(t, attribute, 1), F.lit("&amp;"), F.lit("&")))
 
-    both = pages.filter("url IS NOT NULL AND html IS NOT NULL").select(page.alias("a"), F.array(named(CANONICAL_TAG, HREF), named(REFRESH_TAG, TARGET)).alias("to"))
-    return both.select("a", F.explode("to").alias("b")).filter("b IS NOT NULL AND a <> b")
+    both = pages.filter("url IS NOT NULL AND html IS NOT NULL").select(F.col("url").alias("a"), F.concat(named(CANONICAL_TAG, HREF), named(REFRESH_TAG, TARGET)).alias("to"))
+    return both.select("a", F.explode("to").alias("to")).select("a", resolved(F.col("to"), F.col("a")).alias("b")).filter("b IS NOT NULL AND a <> b")
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -144,6 +144,20 @@ def test_url_verdicts(spark):
     }
 
 
+def test_relative_and_repeated_targets(spark):
+    page = "http://h.info/a/b/c.html?q=1#f"
+    want = {
+        "page2.html": "http://h.info/a/b/page2.html", "?id=3": "http://h.info/a/b/c.html?id=3", "../x": "http://h.info/a/x", "../../../x/./y": "http://h.info/x/y",
+        ".": "http://h.info/a/b/", "/r?u=http://z.info/": "http://h.info/r?u=http://z.info/", "//k.info/x": "http://k.info/x", "HTTPS://k.info/y": "HTTPS://k.info/y",
+    }
+    html = "".join(f'<link rel="canonical" href="{t}">' for t in [*want, "#f", "mailto:a@b"]) + "".join(f'<meta http-equiv="refresh" content="0; url=r{i}">' for i in (1, 2))
+    got = urls.page_edges(pages(spark, [(1, page, html), (2, "http://n.info", '<link rel=canonical href=x>'), (3, "bare", '<link rel=canonical href=x>')])).collect()
+    assert {r["b"] for r in got if r["a"] == page} == {*want.values(), "http://h.info/a/b/r1", "http://h.info/a/b/r2"}
+    assert {r["b"] for r in got if r["a"] != page} == {"http://n.info/x"}
+    judged = urls.judge_pages(pages(spark, [(1, "http://q.org/es/3", '<link rel=canonical href="http://v.info/1"><link rel=canonical href="http://v.info/d/2">'), (2, "http://v.info/d/1", '<link rel=canonical href="2">')]))
+    assert {r["page_id"]: r["verdict"] for r in judged.collect()} == {1: "block", 2: "block"}
+
+
 def test_url_edges_rows_and_tables(spark):
     assert urls.judge_pages(pages(spark)).count() == len(PAGES)
     assert urls.judge_pages(pages(spark, [])).count() == 0
