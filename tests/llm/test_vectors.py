@@ -81,6 +81,19 @@ def test_ann_of_little(spark):
     assert [tuple(r) for r in two] == [(0, 1, 1, 0.5)]
 
 
+@pytest.mark.parametrize("bad", [[], [None, 1.0], [-math.inf, 0.0], [math.nan, 0.0], None])
+def test_invalid_rows_hide_no_vector_of_their_id(spark, bad):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (0, bad), (1, bad)]
+    assert [tuple(r) for r in ann.approximate_top_k(frame(spark, rows)).collect()] == [(0, 1, 1, 0.5)]
+    assert [tuple(r) for r in topk.exact_top_k(frame(spark, rows)).collect()] == [(0, 1, 1, 256 * 128)]
+
+
+def test_zero_rows_hide_no_vector_of_their_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.0, 0.0])]
+    assert [tuple(r) for r in ann.approximate_top_k(frame(spark, rows)).collect()] == [(0, 1, 1, 0.5)]
+    assert [tuple(r) for r in topk.exact_top_k(frame(spark, rows)).collect()] == [(0, 1, 1, 0)]  # zero takes part and is the least
+
+
 @pytest.mark.parametrize("sure", [0.8, 0.97])
 def test_reach_is_monotone(sure):
     assert ann.reach(96, 66, sure) < ann.reach(96, 66, sure + 0.02)
