@@ -10,12 +10,14 @@ Jaccard similarity is 0.75 or more.
 2. Documents with the same prefix (the first n - ceil(0.75 n) + 1 shingles in that order) and
    the same size form one group. Postings (shingle, group, size, place) are packed by range of
    hashes; a frequent shingle's are salted by group. Per range, shingles that only one group has
-   are dropped, groups next to each other in the list of a shingle become first candidates, and
-   the postings that are left are kept.
-3. First candidates are verified on whole sets and give provisional components. Then a shingle
-   whose postings all lie in one component is done with; for the others every pair of different
-   components that passes the filters is verified, however many there are. So
-   no link is lost, and a large group of near copies costs about its size, not its square.
+   are dropped. A shingle that ``SHORT`` groups or fewer have gives all pairs of them; from a
+   longer list each group only meets the first ``HUBS``, and the list's postings are kept.
+3. Pairs of groups that pass the size, position and prefix filters are expanded and verified on
+   whole sets, which gives provisional components. A long list that lies in one component is then
+   done with. In the others, what is outside the list's main component is held against the whole
+   list by the same filters, and pairs of different components are verified: each class's likeliest
+   partners first, then what is still apart, to the last pair. So no link is lost, and a large
+   group of near copies costs about its size, not its square.
 4. Connected components over the verified links name each class by its smallest doc_id.
 
 Verification reads whole sets, made again from the texts of one document of each class that has
@@ -34,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, fresh, lean, written
@@ -43,20 +45,22 @@ WORDS = 5
 #: Similarity in hundredths.
 LIKE = 75
 #: Shingles that the order puts last, at most; local counts from which a task reports one.
-FREQUENT, REPORTED = 200_000, 4
+FREQUENT, REPORTED = 200_000, 2
 #: Shingles that a task counts at a time, classes that it remembers, texts and bytes that it hashes at a time.
 COUNTED, MEMORY, SOME, BLOCK = 1_000_000, 200_000, 500, 1 << 20
 #: Postings of a range of hashes, about; those of a frequent shingle that stay together.
-RANGE_POSTINGS, TOGETHER = 400_000, 20_000
-#: Orders in which a shingle's groups are put next to each other.
-ORDERS = 5
+RANGE_POSTINGS, TOGETHER = 200_000, 20_000
+#: Groups of a short list, all of whose pairs are formed; groups of a long one that each of it meets first.
+SHORT, HUBS = 8, 8
+#: Partners whose sets go to one place; partners of a class that are tried first, and how many times more in each round.
+PARTNERS, BEST, WIDER = 256, 4, 16
 #: Bits of the map of wanted documents: one megabyte.
 BITMAP = 23
 
 # Odd multipliers of the shingle hash and its final mix.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-POSTING = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<i4"), ("place", "u1")])
+POSTING = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<i4"), ("place", "<u4")])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -199,6 +203,23 @@ def in_order(shingles: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np
     return np.concatenate([shingles[~often], late[np.lexsort((late, counts[at[often]]))]])
 
 
+def packed(posts: np.ndarray) -> bytes:
+    """Postings column by column, small numbers byte by byte: what is mostly zero or repeats then compresses."""
+    columns = [np.ascontiguousarray(posts[f]).view(np.uint8).reshape(len(posts), -1) for f in POSTING.names]
+    return b"".join((c if f in ("token", "group") else c.T).tobytes() for f, c in zip(POSTING.names, columns))
+
+
+def unpacked(raw: pa.Buffer) -> np.ndarray:
+    own, at = np.empty(raw.size // POSTING.itemsize, POSTING), 0
+    for f in POSTING.names:
+        size = len(own) * POSTING[f].itemsize
+        column = np.frombuffer(raw[at : at + size], np.uint8)
+        column = column.reshape(len(own), -1) if f in ("token", "group") else column.reshape(-1, len(own)).T
+        own[f] = np.ascontiguousarray(column).reshape(-1).view(POSTING[f])
+        at += size
+    return own
+
+
 def _batch(schema: str, **columns) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
     fields = [x.split() for x in schema.split(", ")]
@@ -267,7 +288,7 @@ def pack_postings(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, range
             by = np.argsort(part, kind="stable")
             part, all_ = part[by], all_[by]
             first = np.flatnonzero(np.diff(part, prepend=-1))
-            data = [b"".join(x[f].tobytes() for f in POSTING.names) for x in np.split(all_, first[1:])]
+            data = [packed(x) for x in np.split(all_, first[1:])]
             groups: dict[int, list[bytes]] = {}
             for g, c in members:
                 groups.setdefault(-1 - g % ranges, []).append(g.to_bytes(8, "little", signed=True) + c)
@@ -284,7 +305,7 @@ def pack_postings(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, range
                 prefix = in_order(s, tokens, counts)[:p]
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes(), n) - 2**63
                 own = np.empty(p, POSTING)
-                own["token"], own["group"], own["n"], own["place"] = prefix, group, n, np.arange(p) * 256 // n
+                own["token"], own["group"], own["n"], own["place"] = prefix, group, n, np.arange(p)
                 held.append(own)
                 members.append((group, c))
                 size += p
@@ -298,61 +319,75 @@ def pack_postings(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, range
 
 
 def may_link(n1, n2, place1, place2):
-    """Size and position filters on arrays; places are lower bounds in 256ths of the size."""
+    """Size and position filters on arrays, for the first shingle in the order that two sets have in common."""
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    rest1, rest2 = n1 - place1.astype(np.int64) * n1 // 256, n2 - place2.astype(np.int64) * n2 // 256
-    return (100 * small >= LIKE * large) & ((100 + LIKE) * np.minimum(rest1, rest2) >= LIKE * (n1 + n2))
+    return (100 * small >= LIKE * large) & ((100 + LIKE) * np.minimum(n1 - place1, n2 - place2) >= LIKE * (n1 + n2))
+
 
+SHARED = "kind string, token bigint, a bigint, b bigint, n int, m int, place int, common int, passes boolean, class binary"
 
-SHARED = "kind string, token bigint, a bigint, b bigint, n int, place int, many boolean, class binary"
+
+def listed_pairs(posts: np.ndarray, short: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """Rows of kind 'pair' (a, b, n, m, common, passes) from postings sorted by (token, group).
+
+    Short lists give all their pairs, with the number of lists that a pair has in ``common``; long
+    ones give each group with the list's first ``HUBS`` groups, if the filters pass.
+    """
+    found = []
+    n, place = posts["n"].astype(np.int64), posts["place"].astype(np.int64)
+
+    def add(i: np.ndarray, j: np.ndarray, common: int) -> None:
+        fit = 100 * np.minimum(n[i], n[j]) >= LIKE * np.maximum(n[i], n[j])
+        i, j = i[fit], j[fit]
+        passes = may_link(n[i], n[j], place[i], place[j])
+        if not common:
+            i, j, passes = i[passes], j[passes], passes[passes]
+        found.append((posts["group"][i], posts["group"][j], n[i], n[j], np.full(len(i), common), passes))
+
+    at = np.arange(len(posts))
+    for d in range(1, SHORT):
+        i = at[: max(0, len(at) - d)]
+        add(*(x[short[i] & (first[i] == first[i + d])] for x in (i, i + d)), 1)
+    rest = at[~short]
+    for r in range(HUBS):
+        later = rest[rest - first[rest] > r]
+        add(first[later] + r, later, 0)
+    a, b, n, m, common, passes = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, np.int64)
+    if not len(new):
+        return _batch(SHARED, kind=pa.array([], pa.string()))
+    common, passes = np.add.reduceat(common[by], new), np.logical_or.reduceat(passes[by], new)
+    return _batch(SHARED, kind=["pair"] * len(new), a=a[new], b=b[new], n=n[by][new].astype(np.int32), m=m[by][new].astype(np.int32), common=common.astype(np.int32), passes=passes)
 
 
 def shared_postings(packed: DataFrame, salted: np.ndarray) -> DataFrame:
-    """Of each range: kind 'pair' (a, b) first candidates, 'post' (token, a, n, place, many), 'member' (a, class).
+    """Of each range: kind 'pair' (see ``listed_pairs``), 'post' (token, a, n, place) of long lists, 'member' (a, class).
 
-    First candidates are neighbours in a shingle's list by size and in a few orders by hashes of
-    the group, the same for every shingle, so that most lists name the same pairs. ``many``: the
-    list has more than two groups (or is ``salted``), so neighbours aren't all of its pairs.
+    A list is long if it has more than ``SHORT`` groups or is ``salted`` (a range has a part of it).
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        out = [_batch(SHARED, kind=pa.array([], pa.string()))]
         if part < 0:
             rows = sorted({x[i : i + 24] for chunk in table["data"] for x in [chunk.as_py()] for i in range(0, len(x), 24)})
-            out.append(_batch(SHARED, kind=["member"] * len(rows), a=[int.from_bytes(r[:8], "little", signed=True) for r in rows], **{"class": [r[8:] for r in rows]}))
-            return pa.Table.from_batches(out)
-        found = []
-        for chunk in table["data"]:
-            raw = chunk.as_py()
-            own, at = np.empty(len(raw) // POSTING.itemsize, POSTING), 0
-            for f in POSTING.names:
-                size = len(own) * POSTING[f].itemsize
-                own[f] = np.frombuffer(raw[at : at + size], POSTING[f])
-                at += size
-            found.append(own)
-        posts = np.concatenate(found)
-        posts = posts[np.lexsort((posts["group"], posts["n"], posts["token"]))]
+            return pa.Table.from_batches([_batch(SHARED, kind=["member"] * len(rows), a=[int.from_bytes(r[:8], "little", signed=True) for r in rows], **{"class": [r[8:] for r in rows]})])
+        posts = np.concatenate([unpacked(chunk.as_buffer()) for chunk in table["data"]])
+        posts = posts[np.argsort(posts["token"], kind="stable")]
+        same = posts["token"][1:] == posts["token"][:-1]
+        posts = posts[np.append(same, False) | np.append(False, same)]  # most shingles are in one prefix only
+        posts = posts[np.lexsort((posts["group"], posts["token"]))]
         twice = np.zeros(len(posts), bool)  # the same group from several tasks
         twice[1:] = (posts["token"][1:] == posts["token"][:-1]) & (posts["group"][1:] == posts["group"][:-1])
         posts = posts[~twice]
-        pairs = []
-        for k in range(ORDERS):
-            by = np.lexsort((mixed(posts["group"].view(np.uint64) ^ ODD[k - 1]), posts["token"])) if k else slice(None)
-            token, group, n, place = (posts[f][by] for f in ("token", "group", "n", "place"))
-            at = np.flatnonzero(token[1:] == token[:-1])
-            at = at[may_link(n[at].astype(np.int64), n[at + 1].astype(np.int64), place[at], place[at + 1])]
-            pairs.append(np.stack([np.minimum(group[at], group[at + 1]), np.maximum(group[at], group[at + 1])], axis=1))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        out.append(_batch(SHARED, kind=["pair"] * len(pairs), a=pairs[:, 0], b=pairs[:, 1]))
-        first = np.flatnonzero(np.concatenate([[True], posts["token"][1:] != posts["token"][:-1]])) if len(posts) else np.empty(0, np.int64)
+        first = np.flatnonzero(np.append(True, posts["token"][1:] != posts["token"][:-1])) if len(posts) else np.empty(0, np.int64)
         size = np.diff(np.append(first, len(posts)))
-        size = np.repeat(size, size)
-        size[np.isin(posts["token"], salted)] = 3
-        shared, many = size > 1, size > 2
-        kept = posts[shared]
-        out.append(_batch(SHARED, kind=["post"] * len(kept), token=kept["token"].view(np.int64), a=kept["group"], n=kept["n"], place=kept["place"].astype(np.int32), many=many[shared]))
-        return pa.Table.from_batches(out)
+        first, size = np.repeat(first, size), np.repeat(size, size)
+        long = (size > SHORT) | np.isin(posts["token"], salted)
+        kept = posts[long]
+        held = _batch(SHARED, kind=["post"] * len(kept), token=kept["token"].view(np.int64), a=kept["group"], n=kept["n"], place=kept["place"].astype(np.int32))
+        return pa.Table.from_batches([listed_pairs(posts, ~long, first), held])
 
     return packed.groupBy("range").applyInArrow(run, SHARED)
 
@@ -367,65 +402,108 @@ def wanted_sets(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in slices(batches):
             ids = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
             low = (ids ^ (ids >> BITMAP)) & ((1 << BITMAP) - 1)
             wanted = ((bitmap.value[low >> 6] >> (low & 63)) & 1).astype(bool) | batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
             texts = batch["text"].take(pa.array(np.flatnonzero(wanted)))
-            sets = [s for s in shingle_sets(texts) if len(s)]
-            for at in range(0, len(sets), 256):
-                some = sets[at : at + 256]
-                yield _batch("class binary, n int, shingles binary", n=[len(s) for s in some], shingles=[s.tobytes() for s in some], **{"class": [class_of(s) for s in some]})
+            sets = {class_of(s): s for s in shingle_sets(texts) if len(s)}
+            fresh_ones = [c for c in sets if c not in seen]
+            if len(seen) > MEMORY:
+                seen.clear()
+            seen.update(fresh_ones)
+            for at in range(0, len(fresh_ones), 256):
+                some = fresh_ones[at : at + 256]
+                yield _batch("class binary, shingles binary", shingles=[sets[c].tobytes() for c in some], **{"class": some})
 
-    return docs.mapInArrow(lean(run), "class binary, n int, shingles binary")
+    return docs.mapInArrow(lean(run), "class binary, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of classes (a, b) whose whole sets are alike."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("t"))
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the written pairs of classes (a, b), none twice, those whose whole sets are alike; written.
+
+    The set of a goes once to the place where its partners' sets are sent one by one; a class with
+    more than ``PARTNERS`` of them has several such places.
+    """
+    many = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > PARTNERS))
+    part = F.coalesce(F.expr(f"pmod(xxhash64(b), k div {PARTNERS} + 1)"), F.lit(0).cast("bigint"))
+    dealt = pairs.select("a", "b").join(many, "a", "left").select("a", "b", part.alias("part"))
+    asked = written(dealt.select("a", "part", F.lit(False).alias("other"), F.col("a").alias("class")).distinct().union(dealt.select("a", "part", F.lit(True), "b")))
+    wanted = written(asked.select("class").distinct().join(classes, "class").select("class", F.col("head")["doc_id"].alias("doc_id")))
+    sent = asked.join(wanted_sets(docs, wanted.select("doc_id")), "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = own_class = last = None
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                s, t = (np.frombuffer(batch[c][i].as_buffer(), np.uint64) for c in ("s", "t"))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= LIKE * (len(s) + len(t) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(lean(run), "a binary, b binary")
+            found: list[tuple[bytes, bytes]] = []
+            for row in range(batch.num_rows):
+                a, part, other, c = (batch[name][row].as_py() for name in ("a", "part", "other", "class"))
+                if (a, part, other, c) == last:  # the set of a class from several tasks
+                    continue
+                last = a, part, other, c
+                s = np.frombuffer(batch["shingles"][row].as_buffer(), np.uint64)
+                if not other:
+                    own, own_class = s.copy(), a
+                elif own_class == a:
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    if 100 * both >= LIKE * (len(own) + len(s) - both):
+                        found.append((a, c))
+            yield _batch("a binary, b binary", a=[a for a, _ in found], b=[b for _, b in found])
+
+    compared = sent.repartition("a", "part").sortWithinPartitions("a", "part", "other", "class").mapInArrow(lean(run), "a binary, b binary")
+    out = written(compared)
+    discard(many, asked, wanted)
+    return out
 
 
-def share_enough(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The pairs of groups (g, h) whose prefixes share enough that the sets may be alike.
+def enough(common, n1: str = "n", n2: str = "m"):
+    """Whether sets of these sizes may be alike, by what their prefixes have in common.
 
     Of two prefixes, let x's end first in the order. A shared shingle then lies in both prefixes
-    or behind x's, so the overlap is at most the shared part of the prefixes and the rest of x.
-    ``prefixes`` need only hold shingles that several groups have. A group is alike to itself.
+    or behind x's, so the overlap is at most the common part of the prefixes and the rest of x.
     """
-    one = prefixes.select(F.col("group").alias("g"), F.col("tokens").alias("t1"), F.col("n").alias("n1"))
-    two = prefixes.select(F.col("group").alias("h"), F.col("tokens").alias("t2"), F.col("n").alias("n2"))
-    behind = F.greatest(*[F.expr(f"ceil({LIKE} * {n} / 100) - 1") for n in ("n1", "n2")])
-    most = F.size(F.array_intersect("t1", "t2")) + behind
-    alike = F.col("g").eqNullSafe(F.col("h")) | ((100 + LIKE) * most >= LIKE * (F.col("n1") + F.col("n2")))
-    return pairs.join(one, "g", "left").join(two, "h", "left").filter(alike).select(*pairs.columns)
+    behind = F.greatest(*[F.expr(f"ceil({LIKE} * {n} / 100) - 1") for n in (n1, n2)])
+    return (100 + LIKE) * (common + behind) >= LIKE * (F.col(n1) + F.col(n2))
+
 
+def group_pairs(shared: DataFrame, longs: DataFrame) -> DataFrame:
+    """(g, h) of groups that a list names together and that pass the filters. ``longs``: a group's shingles with long lists."""
+    pairs = shared.filter("kind = 'pair'").groupBy(F.col("a").alias("g"), F.col("b").alias("h")).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("common").alias("common"), F.max("passes").alias("passes")).filter("passes")
+    one = longs.select(F.col("group").alias("g"), F.col("tokens").alias("t1"))
+    two = longs.select(F.col("group").alias("h"), F.col("tokens").alias("t2"))
+    more = F.coalesce(F.greatest(F.size(F.array_intersect("t1", "t2")), F.lit(0)), F.lit(0))
+    return pairs.join(one, "g", "left").join(two, "h", "left").filter(enough(F.col("common") + more)).select("g", "h")
 
-def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, n, shingles) of the classes in ``pairs``, written."""
-    wanted = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", "doc_id"))
-    sets = written(wanted_sets(docs, wanted.select("doc_id")).join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
-    discard(wanted)
-    return sets
+
+def open_pairs(entries: DataFrame, longs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, common): all pairs of classes that a list of ``entries`` (token, group, class, n, place, whole) names together,
+    that are in different components and that pass the filters; written. Pairs in a whole list pass.
+
+    A list's main component has most of its classes; the others (a) are held against the whole list. A pair
+    counts in the first of its lists; if a short list has it too, it was settled there.
+    """
+    at = known.select(F.col("node").alias("class"), "component")
+    placed = written(entries.join(at, "class", "left").join(longs, "group", "left").select("token", "class", "n", "place", "whole", "tokens", F.coalesce("component", "class").alias("component")))
+    by_list = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    mixed_lists = written(by_list.filter("parts > 1").select("token", "main"))
+    left = written(placed.join(mixed_lists, "token"))
+    out = left.filter("component <> main").select("token", F.col("class").alias("a"), "n", "place", F.col("tokens").alias("t1"), F.col("component").alias("c1"))
+    all_ = left.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("tokens").alias("t2"), F.col("component").alias("c2"), "main", "whole")
+    both = F.array_intersect("t1", "t2")
+    apart = F.expr(f"c1 <> c2 AND (c2 = main OR a < b) AND 100 * least(n, m) >= {LIKE} * greatest(n, m) AND {100 + LIKE} * least(n - place, m - place2) >= {LIKE} * (n + m)")
+    once = F.col("whole") | (F.col("token") == both[0]) & enough(F.size(both))
+    pairs = out.join(all_, "token").filter(apart & once).select("a", "b", F.when(F.col("whole"), F.lit(0)).otherwise(F.size(both)).alias("common"))
+    found = written(pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"), F.max("common").alias("common")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), "common"))
+    discard(placed, mixed_lists, left)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, class, root, component_id) for every row of ``docs``.
+    """(doc_id, text_key, n_shingles, class, head, component_id) for every row of ``docs``.
 
-    text_key is xxhash64 of the text, root the least class of the component (null without shingles)
-    and component_id its smallest doc_id."""
+    text_key is xxhash64 of the text, head the first (doc_id is null, doc_id, text_key) of the component
+    (null without shingles) and component_id its smallest doc_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     first = written(classify(docs))
@@ -434,60 +512,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tokens, counts = often["token"].to_numpy().view(np.uint64), often["seen"].to_numpy()
     by = np.argsort(tokens)
     tokens, counts = tokens[by], counts[by]
-    classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = written(rows.filter("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("head"), F.first("n").alias("n")))
     postings = classes.agg(F.sum(F.expr(f"n - ceil({LIKE} * n / 100) + 1"))).first()[0] or 0
     ranges = max(2 * spark.sparkContext.defaultParallelism, -(-int(postings) // RANGE_POSTINGS))
-    shared = written(shared_postings(pack_postings(docs, tokens, counts, ranges).repartition(2 * ranges, "range"), tokens[counts >= TOGETHER]))
+    shared = written(shared_postings(pack_postings(docs, tokens, counts, ranges), tokens[counts >= TOGETHER]))
 
     members = shared.filter("kind = 'member'").select(F.col("a").alias("group"), "class").distinct()
-    post = shared.filter("kind = 'post'").select("token", F.col("a").alias("group"), "n", "place", "many")
-    one = members.groupBy("group").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("several"))
-    prefixes = written(post.groupBy("group").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n")))
-    pairs = share_enough(shared.filter("kind = 'pair'").select(F.col("a").alias("g"), F.col("b").alias("h")).distinct(), prefixes)
-    sizes = classes.select("class", "n")
-    # several members of a group stand next to each other in a list of their own
-    inner = members.join(one.filter("several > 1").select("group", F.col("class").alias("head")), "group").filter("class <> head")
-    across = pairs.join(one.select(F.col("group").alias("g"), F.col("class").alias("a")), "g").join(one.select(F.col("group").alias("h"), F.col("class").alias("b")), "h").select("a", "b")
-    candidates = written(across.union(inner.select(F.col("head").alias("a"), F.col("class").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    sets = sets_of(docs, candidates, classes)
-    links = written(verified(candidates, sets))
-    discard(sets)
+    posts = shared.filter("kind = 'post'").select("token", F.col("a").alias("group"), "n", "place")
+    one = written(members.groupBy("group").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("several")))
+    longs = written(posts.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("tokens")))
+    pairs = written(group_pairs(shared, longs))
+    inner = members.join(one.filter("several > 1").select("group", F.col("class").alias("head")), "group")
+    named = pairs.join(one.select(F.col("group").alias("g"), F.col("class").alias("a")), "g").join(one.select(F.col("group").alias("h"), F.col("class").alias("b")), "h")
+    candidates = written(named.select("a", "b").union(inner.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))))
+    links = verified(docs, candidates, classes)
     known = components(links)
-    # what neighbours don't settle: lists of many groups, or with a group of several members (whose
-    # members make one more list). Classes and components go by 64 bits here; classes are named in
-    # full again before they are verified.
+
+    # what is open: long lists, and groups of several members, among themselves and with a group that passed
     several = one.filter("several > 1").select("group")
-    few = post.filter("NOT many")
-    open_lists = post.filter("many").unionByName(few.join(few.join(several, "group").select("token").distinct(), "token", "left_semi"))
-    both = inner.select("group", "class").union(inner.select("group", F.col("head"))).distinct().join(sizes, "class")
-    entry = open_lists.join(members, "group").select("token", "group", "class", "n", "place").union(both.select(F.xxhash64("group", "group"), "group", "class", "n", F.lit(0)))
-    entry = entry.select("token", "group", F.xxhash64("class").alias("c"), "n", "place")
-    at = known.select(F.xxhash64("node").alias("c"), F.xxhash64("component").alias("component"))
-    placed = written(entry.join(at, "c", "left").select("token", "group", "c", "n", "place", F.coalesce("component", "c").alias("component")))
-    mixed_lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    left = placed.join(mixed_lists, "token")
-    right = left.select("token", F.col("group").alias("h"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
-    rest = F.expr("n - place * n div 256"), F.expr("n2 - place2 * n2 div 256")
-    passes = F.expr(f"c < c2 AND component <> component2 AND 100 * least(n, n2) >= {LIKE} * greatest(n, n2)") & ((100 + LIKE) * F.least(*rest) >= LIKE * (F.col("n") + F.col("n2")))
-    more = share_enough(left.join(right, "token").filter(passes).select(F.col("group").alias("g"), "h", "c", "c2").distinct(), prefixes)
-    full = classes.select(F.xxhash64("class").alias("c"), F.col("class").alias("a"))
-    more = more.join(full, "c").join(full.select(F.col("c").alias("c2"), F.col("a").alias("b")), "c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(more.join(candidates, ["a", "b"], "left_anti"))
-    discard(shared, prefixes, placed, candidates)
-    if not more.isEmpty():
-        sets = sets_of(docs, more, classes)
-        second = written(verified(more, sets))
-        discard(sets)
-        if not second.isEmpty():
-            known = components(links.union(second))
-
-    named = known.withColumnRenamed("node", "class").join(classes.select("class", "doc_id"), "class")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    linked = named.join(least, "component").select("class", "least", "component")
-    labels = classes.join(linked, "class", "left").select("class", F.coalesce("least", "doc_id").alias("label"), F.coalesce("component", "class").alias("root"))
+    beside = pairs.join(several.select(F.col("group").alias("g")), "g", "left_semi").union(pairs.join(several.select(F.col("group").alias("h")), "h", "left_semi").select("g", "h")).distinct()
+    beside = beside.select(F.xxhash64("g", "h").alias("token"), F.explode(F.array("g", "h")).alias("group")).union(several.select(F.xxhash64("group", "group"), "group"))
+    entries = posts.withColumn("whole", F.lit(False)).union(beside.select("token", "group", F.lit(1), F.lit(0), F.lit(True))).join(members, "group")
+    left = open_pairs(entries, longs, known)
+    done = candidates.select("a", "b").union(candidates.select(F.col("b"), F.col("a")))
+    left, best = written(left.join(done, ["a", "b"], "left_anti")), BEST
+    while not left.isEmpty():
+        # each class's best partners first: a link makes most of the others needless
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("common").desc(), "b"))
+        now = written(left.withColumn("rank", rank).filter(F.col("rank") <= best).select("a", "b"))
+        found = verified(docs, now, classes)
+        if not found.isEmpty():
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        at = known.select(F.col("node"), "component")
+        rest = left.join(now, ["a", "b"], "left_anti").join(at.select(F.col("node").alias("a"), F.col("component").alias("c1")), "a", "left").join(at.select(F.col("node").alias("b"), F.col("component").alias("c2")), "b", "left")
+        rest = written(rest.filter(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select("a", "b", "common"))
+        discard(left, now)
+        left, best = rest, best * WIDER
+    discard(shared, longs, one, pairs, candidates, left)
+
+    placed = known.withColumnRenamed("node", "class").join(classes.select("class", "head"), "class")
+    least = written(placed.groupBy("component").agg(F.min("head").alias("least")))
+    labels = written(classes.select("class", "head").join(placed.select("class", "component").join(least, "component"), "class", "left").select("class", F.coalesce("least", "head").alias("head")))
     out = rows.join(labels, "class", "left")
-    return out.select("doc_id", "text_key", F.col("n").cast("bigint").alias("n_shingles"), "class", "root", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").cast("bigint").alias("n_shingles"), "class", "head", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("head")["doc_id"]).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -497,9 +564,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Documents without shingles link with nothing and all stay.
     """
     key, id_ = fresh(docs, "_text_key", "_id")
-    found = written(near_duplicates(docs).filter("n_shingles > 0").select("doc_id", "text_key", "root"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("f"))
-    rest = found.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_key") == F.col("f.text_key"))))
+    found = written(near_duplicates(docs).filter("n_shingles > 0").select("doc_id", "text_key", "head"))
+    rest = found.filter(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))))
     named = lambda df: df.select(F.col("text_key").alias(key), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_))
     keyed = docs.withColumn(key, F.xxhash64("text")).withColumn(id_, F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")))
     kept = keyed.join(named(rest).distinct(), [key, id_], "left_anti")

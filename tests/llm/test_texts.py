@@ -171,12 +171,26 @@ def near_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def crowd(seed, n=150):
+    """A large group of near copies, many of which are like few others, and texts that hold the same passage."""
+    rng = random.Random(seed)
+    base, passage = words(rng, 80).split(), words(rng, 60)
+    rows = [(1000 + i, f"{passage} {words(rng, rng.randrange(10, 40), 'p')}", None) for i in range(30)]
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            at = rng.randrange(len(w) - 2)
+            w[at : at + 2] = [f"x{rng.randrange(40)}"] * rng.choice([1, 2, 3])
+        rows.append((i, " ".join(w), None))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_components_equal_brute_force(spark, seed, monkeypatch):
-    rows = near_rows(seed)
-    if seed == 2:  # frequent shingles, salting and many small batches
-        for name, value in (("REPORTED", 1), ("FREQUENT", 50), ("COUNTED", 200), ("TOGETHER", 2)):
-            monkeypatch.setattr(neardup, name, value)
+    rows = crowd(seed) if seed > 2 else near_rows(seed)
+    changes = {2: {"REPORTED": 1, "FREQUENT": 50, "COUNTED": 200, "TOGETHER": 2}, 4: {"SHORT": 2, "HUBS": 1, "BEST": 1, "WIDER": 2, "PARTNERS": 3, "RANGE_POSTINGS": 100}}
+    for name, value in changes.get(seed, {}).items():  # frequent shingles, salting, many small batches and rounds
+        monkeypatch.setattr(neardup, name, value)
     got = neardup.near_duplicates(frame(spark, rows)).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
