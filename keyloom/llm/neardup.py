@@ -14,10 +14,10 @@ Jaccard similarity is 0.75 or more.
    longer list each group only meets the first ``HUBS``, and the list's postings are kept.
 3. Pairs of groups that pass the size, position and prefix filters are expanded and verified on
    whole sets, which gives provisional components. A long list that lies in one component is then
-   done with. In the others, what is outside the list's main component is held against the whole
-   list by the same filters, and pairs of different components are verified: each class's likeliest
-   partners first, then what is still apart, to the last pair. So no link is lost, and a large
-   group of near copies costs about its size, not its square.
+   done with. In the others, each class outside the list's main component is verified with its
+   likeliest partners by a sketch; in the end all that is still outside is held against the whole
+   list by the same filters, and every pair of different components that passes is verified. So
+   no link is lost, and a large group of near copies costs about its size, not its square.
 4. Connected components over the verified links name each class by its smallest doc_id.
 
 Verification reads whole sets, made again from the texts of one document of each class that has
@@ -36,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, fresh, lean, written
@@ -52,13 +52,16 @@ COUNTED, MEMORY, SOME, BLOCK = 1_000_000, 200_000, 500, 1 << 20
 RANGE_POSTINGS, TOGETHER = 200_000, 20_000
 #: Groups of a short list, all of whose pairs are formed; groups of a long one that each of it meets first.
 SHORT, HUBS = 8, 8
-#: Partners whose sets go to one place; partners of a class that are tried first, and how many times more in each round.
-PARTNERS, BEST, WIDER = 256, 4, 16
+#: Partners whose sets go to one place; classes of a long list that are compared by sketches together.
+PARTNERS, LISTED = 256, 4_096
+#: Likeliest partners of a class in a list that are tried first, rounds of that, and bytes of a sketch.
+BEST, ROUNDS, SKETCH = 4, 1, 64
 #: Bits of the map of wanted documents: one megabyte.
 BITMAP = 23
 
 # Odd multipliers of the shingle hash and its final mix.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
+SKETCH_STARTS = np.arange(SKETCH, dtype=np.uint64) << np.uint64(58)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 POSTING = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<i4"), ("place", "<u4")])
 
@@ -265,7 +268,7 @@ PACKED = "range bigint, data binary"
 
 
 def pack_postings(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, ranges: int) -> DataFrame:
-    """Rows (range, data): postings of a range of hashes; ranges below 0 hold (group, class) instead."""
+    """Rows (range, data): postings of a range of hashes; ranges below 0 hold (group, class, sketch) instead."""
     order = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +310,7 @@ def pack_postings(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, range
                 own = np.empty(p, POSTING)
                 own["token"], own["group"], own["n"], own["place"] = prefix, group, n, np.arange(p)
                 held.append(own)
-                members.append((group, c))
+                members.append((group, c + sketched(s)))
                 size += p
                 if size >= COUNTED:
                     yield send()
@@ -324,7 +327,7 @@ def may_link(n1, n2, place1, place2):
     return (100 * small >= LIKE * large) & ((100 + LIKE) * np.minimum(n1 - place1, n2 - place2) >= LIKE * (n1 + n2))
 
 
-SHARED = "kind string, token bigint, a bigint, b bigint, n int, m int, place int, common int, passes boolean, class binary"
+SHARED = "kind string, token bigint, a bigint, b bigint, n int, m int, place int, common int, passes boolean, class binary, sketch binary"
 
 
 def listed_pairs(posts: np.ndarray, short: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
@@ -363,7 +366,7 @@ def listed_pairs(posts: np.ndarray, short: np.ndarray, first: np.ndarray) -> pa.
 
 
 def shared_postings(packed: DataFrame, salted: np.ndarray) -> DataFrame:
-    """Of each range: kind 'pair' (see ``listed_pairs``), 'post' (token, a, n, place) of long lists, 'member' (a, class).
+    """Of each range: kind 'pair' (see ``listed_pairs``), 'post' (token, a, n, place) of long lists, 'member' (a, class, sketch).
 
     A list is long if it has more than ``SHORT`` groups or is ``salted`` (a range has a part of it).
     """
@@ -371,8 +374,8 @@ def shared_postings(packed: DataFrame, salted: np.ndarray) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
         if part < 0:
-            rows = sorted({x[i : i + 24] for chunk in table["data"] for x in [chunk.as_py()] for i in range(0, len(x), 24)})
-            return pa.Table.from_batches([_batch(SHARED, kind=["member"] * len(rows), a=[int.from_bytes(r[:8], "little", signed=True) for r in rows], **{"class": [r[8:] for r in rows]})])
+            rows = sorted({x[i : i + 24 + SKETCH] for chunk in table["data"] for x in [chunk.as_py()] for i in range(0, len(x), 24 + SKETCH)})
+            return pa.Table.from_batches([_batch(SHARED, kind=["member"] * len(rows), a=[int.from_bytes(r[:8], "little", signed=True) for r in rows], sketch=[r[24:] for r in rows], **{"class": [r[8:24] for r in rows]})])
         posts = np.concatenate([unpacked(chunk.as_buffer()) for chunk in table["data"]])
         posts = posts[np.argsort(posts["token"], kind="stable")]
         same = posts["token"][1:] == posts["token"][:-1]
@@ -476,27 +479,88 @@ def group_pairs(shared: DataFrame, longs: DataFrame) -> DataFrame:
     return pairs.join(one, "g", "left").join(two, "h", "left").filter(enough(F.col("common") + more)).select("g", "h")
 
 
-def open_pairs(entries: DataFrame, longs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, common): all pairs of classes that a list of ``entries`` (token, group, class, n, place, whole) names together,
-    that are in different components and that pass the filters; written. Pairs in a whole list pass.
+def sketched(shingles: np.ndarray) -> bytes:
+    """A byte from the least hash of each of ``SKETCH`` equal ranges, 0 for an empty one: tells how alike two sets may be."""
+    at = np.searchsorted(shingles, SKETCH_STARTS)
+    there = at < np.append(at[1:], len(shingles))
+    out = np.zeros(SKETCH, np.uint8)
+    out[there] = (mixed(shingles[at[there]]) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
 
-    A list's main component has most of its classes; the others (a) are held against the whole list. A pair
-    counts in the first of its lists; if a short list has it too, it was settled there.
+
+def likeliest(lists: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): the ``BEST`` partners in each part of a list that are likeliest by their sketches, for each class outside the list's main component.
+
+    ``lists`` has (token, part, main, class, n, place, component). Only a choice of what is verified first.
     """
+
+    def chosen(rows: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        part = pa.Table.from_batches(rows).combine_chunks()
+        n, place = (part[c].to_numpy().astype(np.int64) for c in ("n", "place"))
+        kind, component = np.unique(part["component"].to_numpy(), return_inverse=True)
+        sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(len(n), SKETCH)
+        outside = np.flatnonzero(kind[component] != part["main"][0].as_py())
+        for some in np.array_split(outside, max(1, len(outside) * len(n) >> 18)):
+            fit = may_link(n[some][:, None], n, place[some][:, None], place) & (component[some][:, None] != component)
+            o, m = np.nonzero(fit)
+            x, y = sketch[some[o]], sketch[m]
+            score = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+            by = np.lexsort((-score, o))
+            o, m = o[by], m[by]
+            keep = np.arange(len(o)) - np.searchsorted(o, o) < BEST
+            yield part["class"].take(pa.array(some[o[keep]])), part["class"].take(pa.array(m[keep]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            for a, b in chosen(held) if held else ():
+                yield pa.RecordBatch.from_arrays([a.combine_chunks(), b.combine_chunks()], ["a", "b"])
+
+        for batch in batches:
+            token, part = batch["token"].to_numpy(), batch["part"].to_numpy()
+            new = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows]):
+                if (token[i], part[i]) != last:
+                    yield from settled()
+                    held, last = [], (token[i], part[i])
+                held.append(batch.slice(i, j - i))
+        yield from settled()
+
+    kind = lists.schema["class"].dataType.simpleString()
+    lists = lists.select("token", "part", "main", "class", "n", "place", "component").join(sketches, "class")
+    return lists.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(lean(run), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def open_lists(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``entries`` in lists of several components, with component and the list's main one, that of most of its classes; written."""
     at = known.select(F.col("node").alias("class"), "component")
-    placed = written(entries.join(at, "class", "left").join(longs, "group", "left").select("token", "class", "n", "place", "whole", "tokens", F.coalesce("component", "class").alias("component")))
-    by_list = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed_lists = written(by_list.filter("parts > 1").select("token", "main"))
-    left = written(placed.join(mixed_lists, "token"))
-    out = left.filter("component <> main").select("token", F.col("class").alias("a"), "n", "place", F.col("tokens").alias("t1"), F.col("component").alias("c1"))
-    all_ = left.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("tokens").alias("t2"), F.col("component").alias("c2"), "main", "whole")
-    both = F.array_intersect("t1", "t2")
+    placed = written(entries.join(at, "class", "left").withColumn("component", F.coalesce("component", "class")))
+    by_list = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"))
+    mixed_lists = written(by_list.filter("parts > 1").select("token", "main", "k"))
+    out = written(placed.join(mixed_lists, "token").withColumn("part", F.expr(f"pmod(xxhash64(class), k div {LISTED} + 1)")))
+    discard(placed, mixed_lists)
+    return out
+
+
+def open_pairs(lists: DataFrame, longs: DataFrame) -> DataFrame:
+    """(a, b): all pairs of classes that a list names together, that are in different components and that pass the filters.
+
+    What is outside a list's main component is held against the whole list. The position filter holds for
+    the first shingle that two prefixes share, so a pair passes it in one list at least; a pair that a short
+    list has too was settled there. Pairs in a whole list pass.
+    """
+    out = lists.filter("component <> main").select("token", F.col("class").alias("a"), "n", "place", F.col("group").alias("g"), F.col("component").alias("c1"))
+    all_ = lists.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("group").alias("h"), F.col("component").alias("c2"), "main", "whole")
     apart = F.expr(f"c1 <> c2 AND (c2 = main OR a < b) AND 100 * least(n, m) >= {LIKE} * greatest(n, m) AND {100 + LIKE} * least(n - place, m - place2) >= {LIKE} * (n + m)")
-    once = F.col("whole") | (F.col("token") == both[0]) & enough(F.size(both))
-    pairs = out.join(all_, "token").filter(apart & once).select("a", "b", F.when(F.col("whole"), F.lit(0)).otherwise(F.size(both)).alias("common"))
-    found = written(pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"), F.max("common").alias("common")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), "common"))
-    discard(placed, mixed_lists, left)
-    return found
+    pairs = out.join(all_, "token").filter(apart)
+    ends = F.struct("a", "g", "n"), F.struct(F.col("b").alias("a"), F.col("h").alias("g"), F.col("m").alias("n"))
+    pairs = pairs.groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).agg(F.max("whole").alias("whole"))
+    pairs = pairs.select(F.col("x.a").alias("a"), F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.a").alias("b"), F.col("y.g").alias("h"), F.col("y.n").alias("m"), "whole")
+    one = longs.select(F.col("group").alias("g"), F.col("tokens").alias("t1"))
+    two = longs.select(F.col("group").alias("h"), F.col("tokens").alias("t2"))
+    return pairs.join(one, "g", "left").join(two, "h", "left").filter(F.col("whole") | enough(F.size(F.array_intersect("t1", "t2")))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -517,10 +581,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ranges = max(2 * spark.sparkContext.defaultParallelism, -(-int(postings) // RANGE_POSTINGS))
     shared = written(shared_postings(pack_postings(docs, tokens, counts, ranges), tokens[counts >= TOGETHER]))
 
-    members = shared.filter("kind = 'member'").select(F.col("a").alias("group"), "class").distinct()
+    members = shared.filter("kind = 'member'").select(F.col("a").alias("group"), "class", "sketch").distinct()
     posts = shared.filter("kind = 'post'").select("token", F.col("a").alias("group"), "n", "place")
     one = written(members.groupBy("group").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("several")))
-    longs = written(posts.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("tokens")))
+    longs = written(posts.groupBy("group").agg(F.collect_list("token").alias("tokens")))
     pairs = written(group_pairs(shared, longs))
     inner = members.join(one.filter("several > 1").select("group", F.col("class").alias("head")), "group")
     named = pairs.join(one.select(F.col("group").alias("g"), F.col("class").alias("a")), "g").join(one.select(F.col("group").alias("h"), F.col("class").alias("b")), "h")
@@ -532,23 +596,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = one.filter("several > 1").select("group")
     beside = pairs.join(several.select(F.col("group").alias("g")), "g", "left_semi").union(pairs.join(several.select(F.col("group").alias("h")), "h", "left_semi").select("g", "h")).distinct()
     beside = beside.select(F.xxhash64("g", "h").alias("token"), F.explode(F.array("g", "h")).alias("group")).union(several.select(F.xxhash64("group", "group"), "group"))
-    entries = posts.withColumn("whole", F.lit(False)).union(beside.select("token", "group", F.lit(1), F.lit(0), F.lit(True))).join(members, "group")
-    left = open_pairs(entries, longs, known)
-    done = candidates.select("a", "b").union(candidates.select(F.col("b"), F.col("a")))
-    left, best = written(left.join(done, ["a", "b"], "left_anti")), BEST
-    while not left.isEmpty():
-        # each class's best partners first: a link makes most of the others needless
-        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("common").desc(), "b"))
-        now = written(left.withColumn("rank", rank).filter(F.col("rank") <= best).select("a", "b"))
-        found = verified(docs, now, classes)
+    entries = posts.withColumn("whole", F.lit(False)).union(beside.select("token", "group", F.lit(1), F.lit(0), F.lit(True))).join(members.drop("sketch"), "group")
+    normal = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = normal(candidates)
+    sketches = members.select("class", "sketch").dropDuplicates(["class"])
+    for choose in [lambda lists: likeliest(lists, sketches)] * ROUNDS + [lambda lists: open_pairs(lists, longs)]:
+        lists = open_lists(entries, known)
+        more = written(choose(lists).join(done, ["a", "b"], "left_anti"))
+        discard(lists)
+        if more.isEmpty():
+            continue
+        found = verified(docs, more, classes)
+        done = done.union(more.select("a", "b"))
         if not found.isEmpty():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-        at = known.select(F.col("node"), "component")
-        rest = left.join(now, ["a", "b"], "left_anti").join(at.select(F.col("node").alias("a"), F.col("component").alias("c1")), "a", "left").join(at.select(F.col("node").alias("b"), F.col("component").alias("c2")), "b", "left")
-        rest = written(rest.filter(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select("a", "b", "common"))
-        discard(left, now)
-        left, best = rest, best * WIDER
-    discard(shared, longs, one, pairs, candidates, left)
+    discard(shared, longs, one, pairs)
 
     placed = known.withColumnRenamed("node", "class").join(classes.select("class", "head"), "class")
     least = written(placed.groupBy("component").agg(F.min("head").alias("least")))
