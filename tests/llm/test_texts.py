@@ -3,12 +3,15 @@
 import base64
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -80,7 +83,7 @@ def test_base_patterns():
 
 
 def test_short_group_uses_up_its_match():
-    assert secrets.base_spans("token=a:token=abcdefg") == [("assign", 8, 21, None)]
+    assert secrets.base_spans("token=a:token=abcdefg") == [("assign", 8, 21)]
     assert secrets.base_spans("token=token=abcdefgh")[0][:3] == ("assign", 0, 20)
 
 
@@ -91,7 +94,7 @@ def test_novelty_reports_random_strings_only():
     assert [(k, text[a:b]) for k, a, b, _ in secrets.all_spans(text)] == [("novel", key)]
     assert not secrets.all_spans(f"the checksum of the host is {key}")
     assert not secrets.all_spans("the credential is xyzxyzxyzxyzxyzxyzxyz123123123123123")
-    assert secrets.novelty(text, text.index(key), text.index(key) + 32) > 0.9
+    assert secrets.novelty(text, text.index(key), text.index(key) + 32) > 0.8
 
 
 @pytest.mark.parametrize("name", ["aws_secret_access_key", "SECRET_KEY", "private_key", "credential", "secret_" + "of_a_long_name_" * 5])
@@ -114,6 +117,47 @@ def test_novel_strings_with_few_digits():
     assert [text[a:b] for _, a, b, _ in secrets.all_spans(text)] == ["user=q7Xv2JtR9zLm4"]
 
 
+BENIGN = ["release-2024-01-15-candidate", "2024-11-26T10-22-33Z", "ssh-ed25519-cert-v01", "sha256_of_file_version_1234567", "migration_0042_add_index_users", "docs/section12/figure34_final", "internationalization", "getUserAuthenticationHandler", "com/example/service/Handler", "CONFIGURATION_DIRECTORY_PATH", "REPLACE_WITH_YOUR_KEY", "Geschwindigkeitsbegrenzung"]
+PLACES = ["the credential is {}", "{} is the private key", "the credential of that host, which nobody has changed since the move to the new hall, is {}", "private key: {}"]
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_planted_keys_and_benign_strings(place):
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    found = total = 0
+    for s in BENIGN:
+        assert not secrets.all_spans(place.format(s) + " and so on"), s
+    for alphabet in (letters, letters + "0123456789", letters + "0123456789+/"):
+        for n in (16, 24, 40):
+            for _ in range(6):
+                s, total = "".join(rng.choice(alphabet) for _ in range(n)), total + 1
+                text = place.format(s) + " and so on"
+                found += [text[a:b] for _, a, b, _ in secrets.all_spans(text)] == [s]
+    assert found >= 0.95 * total
+    assert secrets.all_spans(place.format("ZxQwErTyUiOpAsDfGhJkLzXcVbNm"))
+
+
+def plain_spans(text):
+    """The base patterns tried at each place from the left, written out."""
+    out = []
+    for kind, pattern, group, least in (("assign", r"(?ai:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", "(AKIA[A-Z0-9]+)", 1, 20), ("hex", "([0-9a-f]+)", 1, 24)):
+        at = 0
+        while at < len(text):
+            m = re.compile(pattern).match(text, at)
+            if m and len(m[group]) >= least:
+                out.append((kind, at, m.end()))
+            at = m.end() if m else at + 1
+    return sorted(out)
+
+
+@given(st.lists(st.sampled_from(["password", "Passwd", "SECRET", "token", "apikey", "api_key", "=", ":", " ", '"', "'", "AKIA", "Z9" * 8, "0f" * 12, "abc", "é", "ſ", "x.y", "\n"]), max_size=24))
+@settings(max_examples=300, deadline=None)
+def test_base_spans_equal_plain_patterns(parts):
+    text = "".join(parts)
+    assert sorted(secrets.base_spans(text)) == plain_spans(text)
+
+
 def test_scan_and_redact_documents(spark):
     key = "ab12" * 10
     rows = [(1, f"é token = '{key}' x", "en"), (2, None, None), (3, "", "en"), (1, f"é token = '{key}' x", "en"), (None, "plain", None), (9, "password=hunter22 " + "z " * 50_000, "en")]
@@ -188,7 +232,7 @@ def crowd(seed, n=150):
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_components_equal_brute_force(spark, seed, monkeypatch):
     rows = crowd(seed) if seed > 2 else near_rows(seed)
-    changes = {2: {"REPORTED": 1, "FREQUENT": 50, "COUNTED": 200, "TOGETHER": 2}, 4: {"SHORT": 2, "HUBS": 1, "BEST": 1, "WIDER": 2, "PARTNERS": 3, "RANGE_POSTINGS": 100}}
+    changes = {2: {"REPORTED": 1, "FREQUENT": 50, "COUNTED": 200, "TOGETHER": 2}, 4: {"SHORT": 2, "HUBS": 1, "BEST": 1, "LISTED": 5, "PARTNERS": 3, "RANGE_POSTINGS": 100}}
     for name, value in changes.get(seed, {}).items():  # frequent shingles, salting, many small batches and rounds
         monkeypatch.setattr(neardup, name, value)
     got = neardup.near_duplicates(frame(spark, rows)).collect()
