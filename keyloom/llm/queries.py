@@ -34,11 +34,13 @@ w AS (SELECT *, 3 * source_size AS cap, CAST([5, 2, 1][1 + (row_number() OVER (O
 l AS (SELECT *, CAST(CAST(sum(source_size) OVER () AS BIGINT) - CAST(coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS DOUBLE)
   / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 m AS (SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, level LIMIT 1),
-t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM m) * weight, CAST(cap AS DOUBLE))) AS target,
-  (CAST(('0x' || left(md5(coalesce('s' || source, 'null') || '/11'), 8)) AS BIGINT) % 4096 + 0.5) / 4096 AS u FROM l),
-k AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * k + u) - floor(rate * (k - 1) + u)) AS BIGINT) AS taken FROM k"""
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM m) * weight, CAST(cap AS DOUBLE))) AS target FROM l),
+k AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT source, target, i, (CAST(('0x' || left(md5(coalesce('s' || source, 'null') || '/11/' || i), 8)) AS BIGINT) % 4096 + 0.5) / 4096 AS u FROM t, range(16) r(i)),
+c AS (SELECT u.source, u.i, u.u, abs(sum(k.size * (floor(rate * k + u.u) - floor(rate * (k - 1) + u.u))) - any_value(u.target)) AS miss FROM u JOIN k ON k.source IS NOT DISTINCT FROM u.source GROUP BY ALL),
+b AS (SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, i) AS r FROM c) WHERE r = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * k + u) - floor(rate * (k - 1) + u)) AS BIGINT) AS taken FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source"""
 
 
 @register
