@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,19 +37,32 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (local tests)."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of our own in local mode (tests), else an error:
+    executors on other machines wouldn't see it."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
+        _gone_at_exit(spark, folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
     return folder
 
 
+def _gone_at_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage; partitions and the order in them stay."""
-    shared_folder(df.sparkSession)
+    """Cuts the lineage; partitions and the order in them stay. The files go when nothing refers to them, or with the application."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    context = spark.sparkContext._jsc.sc()
+    context.conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    _gone_at_exit(spark, context.getCheckpointDir().get())  # this application's own folder in the shared one
     return df.checkpoint(eager=True)
 
 
@@ -57,8 +71,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_folder(spark).rstrip('/')}/keyloom-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _gone_at_exit(spark, at)
     out = spark.read.schema(df.schema).parquet(at)
     out.written_at = at
     return out

@@ -43,7 +43,6 @@ MEMORY, AT_ONCE, BATCH, LEARN_BATCH = 150_000, 4_000_000, 65_536, 8_192
 TINY = 1e-280
 #: Pseudo-counts spread over the pieces as all languages together use them, and the share of an even spread.
 PSEUDO, EVEN = 500.0, 1e-3
-MOST_LANGUAGES = 200
 WORDS = re.compile(r"[^\W\d_]+")
 IN_WORDS = re.compile(rb" ?[a-z\x80-\xff]*")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -248,8 +247,6 @@ def train(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarr
     sums = rows.groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).orderBy("lang", "piece")
     found = sums.toArrow()  # pieces x languages rows at most
     languages = sorted(set(found["lang"].to_pylist()))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"at most {MOST_LANGUAGES} languages")
     pieces = pieces_of(path)
     uses = np.zeros((pieces.size, len(languages)))
     place = {x: i for i, x in enumerate(languages)}
