@@ -54,8 +54,8 @@ RANGE_POSTINGS, TOGETHER = 200_000, 20_000
 SHORT, HUBS = 8, 8
 #: Partners whose sets go to one place; classes of a long list that are compared by sketches together.
 PARTNERS, LISTED = 256, 4_096
-#: Likeliest partners of a class in a list that are tried first, rounds of that, and bytes of a sketch.
-BEST, ROUNDS, SKETCH = 4, 1, 64
+#: Likeliest partners of a class in a list that are tried first, rounds of that, bytes of a sketch, and the least similarity by it.
+BEST, ROUNDS, SKETCH, LIKELY = 4, 1, 64, 0.6
 #: Bits of the map of wanted documents: one megabyte.
 BITMAP = 23
 
@@ -395,21 +395,31 @@ def shared_postings(packed: DataFrame, salted: np.ndarray) -> DataFrame:
     return packed.groupBy("range").applyInArrow(run, SHARED)
 
 
-def wanted_sets(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """(class, n, shingles) of the documents whose ids are wanted (more may pass the bitmap), and of all without an id."""
+def id_bitmap(doc_ids: DataFrame) -> np.ndarray:
+    """A map of ids of fixed size: the bit of each id is set."""
     bit = F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", BITMAP)).bitwiseAND(F.lit((1 << BITMAP) - 1))
     words = doc_ids.filter("doc_id IS NOT NULL").select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, int((doc_id ^ shiftright(doc_id, {BITMAP})) & 63))").alias("m"))
     rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # 2**17 rows at most
     bits = np.zeros(1 << (BITMAP - 6), np.int64)
     bits[rows["w"].to_numpy()] = rows["m"].to_numpy()
-    bitmap = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def in_bitmap(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Whether the map may hold each id; nulls always count."""
+    known = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    low = (known ^ (known >> BITMAP)) & ((1 << BITMAP) - 1)
+    return ((bits[low >> 6] >> (low & 63)) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
+
+
+def wanted_sets(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """(class, shingles) of the documents whose ids are wanted (more may pass the bitmap), and of all without an id."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(doc_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in slices(batches):
-            ids = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
-            low = (ids ^ (ids >> BITMAP)) & ((1 << BITMAP) - 1)
-            wanted = ((bitmap.value[low >> 6] >> (low & 63)) & 1).astype(bool) | batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            wanted = in_bitmap(batch["doc_id"], bitmap.value)
             texts = batch["text"].take(pa.array(np.flatnonzero(wanted)))
             sets = {class_of(s): s for s in shingle_sets(texts) if len(s)}
             fresh_ones = [c for c in sets if c not in seen]
@@ -505,6 +515,8 @@ def likeliest(lists: DataFrame, sketches: DataFrame) -> DataFrame:
             o, m = np.nonzero(fit)
             x, y = sketch[some[o]], sketch[m]
             score = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+            likely = score >= LIKELY
+            o, m, score = o[likely], m[likely], score[likely]
             by = np.lexsort((-score, o))
             o, m = o[by], m[by]
             keep = np.arange(len(o)) - np.searchsorted(o, o) < BEST
@@ -629,9 +641,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = written(near_duplicates(docs).filter("n_shingles > 0").select("doc_id", "text_key", "head"))
     rest = found.filter(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))))
     named = lambda df: df.select(F.col("text_key").alias(key), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_))
-    keyed = docs.withColumn(key, F.xxhash64("text")).withColumn(id_, F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")))
-    kept = keyed.join(named(rest).distinct(), [key, id_], "left_anti")
     again = written(named(found).groupBy(key, id_).count().filter("count > 1").drop("count").join(named(rest).distinct(), [key, id_], "left_anti"))
+    judged = rest.select("doc_id").union(again.select(F.nullif(F.col(id_), F.lit("")).cast("bigint")))
+    bitmap, at = docs.sparkSession.sparkContext.broadcast(id_bitmap(judged)), docs.columns.index("doc_id")
+
+    def part(chosen: bool) -> DataFrame:
+        """The rows whose ids the map of what goes or repeats may hold, or the others, which stay where they are read."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(batch.column(at), bitmap.value) == chosen))
+
+        return docs.mapInArrow(lean(run), docs.schema)
+
+    keyed = part(True).withColumn(key, F.xxhash64("text")).withColumn(id_, F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")))
+    kept = keyed.join(named(rest).distinct(), [key, id_], "left_anti")
     if not again.isEmpty():
         kept = kept.join(again, [key, id_], "left_anti").unionByName(kept.join(again, [key, id_], "left_semi").dropDuplicates([key, id_]))
-    return kept.select(*docs.columns)
+    return kept.select(*docs.columns).unionByName(part(False))
