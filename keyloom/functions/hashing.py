@@ -53,5 +53,5 @@ def unsigned_order(key: Column) -> Column:
 
 
 def u64_sum(value: Column) -> Column:
-    """SUM modulo 2**64 as a decimal: it wraps where sum(BIGINT) would raise."""
-    return F.pmod(F.sum(value.cast("decimal(20,0)")), F.lit(str(TWO_64)).cast("decimal(20,0)"))
+    """SUM modulo 2**64 as a decimal: it wraps where sum(BIGINT) would raise. The sum has 38 digits, room for 10**18 rows."""
+    return F.pmod(F.sum(value.cast("decimal(28,0)")), F.lit(str(TWO_64)).cast("decimal(20,0)"))

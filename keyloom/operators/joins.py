@@ -8,11 +8,12 @@ m + n - 1 pairs. Null keys never match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import u64_sum
 from ..schema import require_same_key_type
+from ..storage import number_rows
 from .aggregates import first_value, last_value
 
 STRATEGIES = {"auto": None, "merge": "merge", "hash": "shuffle_hash"}
@@ -60,21 +61,25 @@ def staircase_join(r: DataFrame, s: DataFrame, order: list[str | Column], exact_
 
     ``exact_ends`` also drops the pairs that the merge loses when a side ends: keys are
     then taken in their own order, so they must be non-negative integers.
-    Both halves are equi-joins with one row a key on one side, so a hot key costs m + n.
+    Both halves are equi-joins with one row a key on one side, so a hot key costs m + n. Rows are
+    numbered by (key, order) over all tasks, and a key's first and last rows come from aggregates.
     """
     require_same_key_type(r, s)
 
-    def numbered(df: DataFrame, i: str, n: str) -> DataFrame:
-        return df.filter(F.col("key").isNotNull()).withColumns({i: F.row_number().over(Window.partitionBy("key").orderBy(*order)), n: F.count(F.lit(1)).over(Window.partitionBy("key"))})
+    def numbered(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        """Rows (key, x_value, x_row), and for each key (first row, last row, first value, last value)."""
+        rows = number_rows(df.filter(F.col("key").isNotNull()), ["key", *order], "_row").select("key", F.col("value").alias(f"{side}_value"), F.col("_row").alias(f"{side}_row"))
+        value, row = f"{side}_value", f"{side}_row"
+        ends = rows.groupBy("key").agg(F.min(row).alias(f"{side}_first"), F.max(row).alias(f"{side}_last"), F.min_by(value, row).alias(f"{side}_head"), F.max_by(value, row).alias(f"{side}_tail"))
+        return rows, ends
 
-    left = numbered(r, "r_i", "m").select("key", F.col("value").alias("r_value"), "r_i", "m")
-    right = numbered(s, "s_i", "n").select("key", F.col("value").alias("s_value"), "s_i", "n")
-    along_r = left.join(right.filter("s_i = 1"), "key")
-    along_s = left.filter("r_i = m").join(right.filter("s_i > 1"), "key")
+    (left, left_ends), (right, right_ends) = numbered(r, "r"), numbered(s, "s")
+    along_r = left.join(right_ends, "key").join(left_ends, "key") if exact_ends else left.join(right_ends, "key")
+    along_s = right.join(left_ends, "key").join(right_ends.select("key", "s_first"), "key").filter("s_row > s_first")
     if exact_ends:
         ends = r.agg(F.max("key").alias("last_r")).join(s.agg(F.max("key").alias("last_s")), how="full")  # one row
         ends = F.broadcast(ends)
-        along_r = along_r.join(ends).filter("NOT (key = last_s AND n = 1) OR r_i = 1")
+        along_r = along_r.join(ends).filter("NOT (key = last_s AND s_first = s_last) OR r_row = r_first")
         along_s = along_s.join(ends).filter("key <> last_r")
-    columns = ["key", "r_value", "s_value"]
-    return along_r.select(columns).unionByName(along_s.select(columns))
+    along_r = along_r.select("key", "r_value", F.col("s_head").alias("s_value"))
+    return along_r.unionByName(along_s.select("key", F.col("r_tail").alias("r_value"), "s_value"))

@@ -37,15 +37,3 @@ def partition_table(df: DataFrame, order: list[str]) -> DataFrame:
     """(part, key, value): a keyed table for each partition; the first row of a key in ``order`` wins."""
     by = F.struct(*order) if len(order) > 1 else F.col(order[0])
     return df.groupBy("part", "key").agg(F.min_by("value", by).alias("value"))
-
-
-def positions(df: DataFrame, part: Column, order: list[Column], name: str = "pos") -> DataFrame:
-    """Numbers rows 0.. in the order of (part, order) without gathering them in one task.
-
-    ``part`` is a monotone digit of the order, as in a radix sort: each digit is ranked by
-    itself and shifted by the rows of the digits before it (a table of one row a digit).
-    """
-    rows = df.withColumn("_part", part)
-    start = offsets(rows.withColumn("part", F.col("_part"))).select(F.col("part").alias("_part"), "start")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return ranked.join(start, "_part").withColumn(name, F.col("start") + F.col("_rank") - 1).drop("_part", "_rank", "start")

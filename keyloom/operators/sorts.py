@@ -1,4 +1,9 @@
-"""Hash-ordered and unsigned-integer sorts. Output is in order; ``ranked`` forms carry the position as a column."""
+"""Hash-ordered and unsigned-integer sorts. Output is in order; ``ranked`` forms carry the position as a column.
+
+Both are a range exchange with sampled bounds and a sort in each partition, so the fan-out follows
+the rows. The position is the place in the partition plus the rows of those before it, and runs of
+equal rows may lie in several partitions: no digit, key or window gathers them in one task.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import HashExpr, fast_hash, hash_tag, unsigned_order
 from ..schema import require_integral
-from .partitions import positions
+from ..storage import number_rows
 
 
 def hash_sort(df: DataFrame, hash_expr: HashExpr = fast_hash) -> DataFrame:
@@ -31,15 +36,18 @@ def uint_sort(df: DataFrame) -> DataFrame:
     return df.orderBy(unsigned_order(F.col("key")))
 
 
-def hash_rank(df: DataFrame, digit: Column, *ties: Column) -> DataFrame:
-    """(hash, key, value, pos) with pos from 0 in (hash, key) order; ``digit`` is a leading digit of the hash."""
-    return positions(df, digit, [F.col("hash"), F.col("key"), *ties])
+def comparison_sort(df: DataFrame) -> DataFrame:
+    """The baseline beside the radix variants: Spark's own sort by key, whatever its type."""
+    return df.orderBy("key")
+
+
+def hash_rank(df: DataFrame, *ties: Column, mask: int | None = None) -> DataFrame:
+    """(hash, key, value, pos) with pos from 0 in (hash, key, ties) order; ``mask`` puts the hash's bits under it first."""
+    lead = [] if mask is None else [F.col("hash").bitwiseAND(F.lit(mask))]
+    return number_rows(df, [*lead, unsigned_order(F.col("hash")), F.col("key"), *ties], "pos")
 
 
-def uint_rank(df: DataFrame, *ties: Column, digits: int = 256) -> DataFrame:
-    """(key, value, pos) with pos from 0 in unsigned order. Digits split the range that the keys take up."""
+def uint_rank(df: DataFrame, *ties: Column) -> DataFrame:
+    """(key, value, pos) with pos from 0 in unsigned order."""
     require_integral(df)
-    at = unsigned_order(F.col("key")).cast("double")
-    low, high = df.agg(F.min(at), F.max(at)).first()
-    width = max(((high or 0.0) - (low or 0.0)) / digits, 1.0)
-    return positions(df, F.floor((at - F.lit(low or 0.0)) / F.lit(width)), [unsigned_order(F.col("key")), *ties])
+    return number_rows(df, [unsigned_order(F.col("key")), *ties], "pos")

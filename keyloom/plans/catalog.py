@@ -186,21 +186,18 @@ _H15 = SQL_HEX.format("o_orderkey", 15)
 
 @register(_RANKED.format(hash=_H15, order=f"{_H15}, o_orderkey, o_custkey"))
 def hash_sort(spark, sf_dir):
-    tagged = tag(_orders(spark, sf_dir), HASH_15)
-    return sorts.hash_rank(tagged, top_bits(F.col("hash"), 8, 60), F.col("value"))
+    return sorts.hash_rank(tag(_orders(spark, sf_dir), HASH_15), F.col("value"))
 
 
 @register(_RANKED.format(hash=_H15, order=f"{_H15}, o_orderkey, o_custkey"))
 def prehashed_sort(spark, sf_dir):
-    tagged = tag(_orders(spark, sf_dir), HASH_15)
-    bits = min(fanout_bits(1 << 12), 10)
-    return sorts.hash_rank(tagged, top_bits(F.col("hash"), bits, 60), F.col("value"))
+    carried = tag(_orders(spark, sf_dir), HASH_15).select("hash", "key", "value")
+    return sorts.hash_rank(carried, F.col("value"))
 
 
 @register(_RANKED.format(hash=_H15, order=f"{_H15} % 64, {_H15}, o_orderkey, o_custkey"))
 def masked_hash_sort(spark, sf_dir):
-    tagged = tag(_orders(spark, sf_dir), HASH_15)
-    return sorts.hash_rank(tagged, F.col("hash").bitwiseAND(F.lit(63)), F.col("value"))
+    return sorts.hash_rank(tag(_orders(spark, sf_dir), HASH_15), F.col("value"), mask=63)
 
 
 @register(f"SELECT {_H15} AS hash, o_orderkey AS key, o_custkey AS value FROM orders")
@@ -229,6 +226,21 @@ def gen_ints(spark, sf_dir):
     return generators.int_table(spark, 1000, HASH_15)
 
 
+@register("SELECT o_orderkey AS key, o_custkey AS value FROM orders")
+def comparison_sort(spark, sf_dir):
+    return sorts.comparison_sort(_orders(spark, sf_dir))
+
+
+@register("SELECT CAST(1000 - n AS INTEGER) AS key, CAST(1000 - n AS INTEGER) AS value FROM range(1000) t(n)")
+def gen_descending(spark, sf_dir):
+    return generators.descending_table(spark, 1000)
+
+
+@register("SELECT n AS hash, n AS key, n AS value FROM range(512) t(n) UNION ALL SELECT n - 9223372036854775807 - 1, n, n FROM range(512) t(n)")
+def gen_two_band(spark, sf_dir):
+    return generators.two_band_table(spark, 1024)
+
+
 @register("SELECT n, CAST(bits AS BIGINT) AS bits FROM (VALUES (5, 6), (63, 6), (64, 7), (1024, 11), (10000, 14), (16383, 14), (16384, 14), (50000, 8), (65536, 8), (262144, 9), (500000, 9), (1000000, 10), (5000000, 11), (8388608, 12), (10000000, 12), (50000000, 13), (100000000, 13), (1000000000, 10)) t(n, bits)")
 def fanout_table(spark, sf_dir):
     sizes = [5, 63, 64, 1024, 10_000, 16_383, 16_384, 50_000, 65_536, 262_144, 500_000, 1_000_000, 5_000_000, 8_388_608, 10_000_000, 50_000_000, 100_000_000, 1_000_000_000]

@@ -7,7 +7,7 @@ from keyloom.functions.hashing import identity_hash, middle_bits, top_bits
 from keyloom.operators import partitions
 from keyloom.plans.fanout import fanout_bits, shuffle_partitions
 from keyloom.sources.generators import descending_table, int_table, string_table
-from keyloom.sources.tables import write_partitions
+from keyloom.sources.tables import word_list, write_partitions
 from keyloom.streaming.histogram import streaming_histogram
 
 MIN = -(2**63)
@@ -93,3 +93,8 @@ def test_streaming_histogram(spark, tmp_path):
     query.stop()
     want = partitions.histogram(partitions.partition_rows(table, 2)).select("part", "rows")
     assert sorted(map(tuple, spark.table("hist").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_word_list_reads_lines(spark, tmp_path):
+    (tmp_path / "words").write_text("b\na\n\nb\n")
+    assert [r["word"] for r in word_list(spark, f"file://{tmp_path}/words").collect()] == ["b", "a", "", "b"]
