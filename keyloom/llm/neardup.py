@@ -593,12 +593,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ranges = max(2 * spark.sparkContext.defaultParallelism, -(-int(postings) // RANGE_POSTINGS))
     shared = written(shared_postings(pack_postings(docs, tokens, counts, ranges), tokens[counts >= TOGETHER]))
 
-    members = shared.filter("kind = 'member'").select(F.col("a").alias("group"), "class", "sketch").distinct()
+    members = written(shared.filter("kind = 'member'").select(F.col("a").alias("group"), "class", "sketch").distinct())
     posts = shared.filter("kind = 'post'").select("token", F.col("a").alias("group"), "n", "place")
     one = written(members.groupBy("group").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("several")))
     longs = written(posts.groupBy("group").agg(F.collect_list("token").alias("tokens")))
     pairs = written(group_pairs(shared, longs))
-    inner = members.join(one.filter("several > 1").select("group", F.col("class").alias("head")), "group")
+    inner = members.select("group", "class").join(one.filter("several > 1").select("group", F.col("class").alias("head")), "group")
     named = pairs.join(one.select(F.col("group").alias("g"), F.col("class").alias("a")), "g").join(one.select(F.col("group").alias("h"), F.col("class").alias("b")), "h")
     candidates = written(named.select("a", "b").union(inner.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))))
     links = verified(docs, candidates, classes)
@@ -608,10 +608,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = one.filter("several > 1").select("group")
     beside = pairs.join(several.select(F.col("group").alias("g")), "g", "left_semi").union(pairs.join(several.select(F.col("group").alias("h")), "h", "left_semi").select("g", "h")).distinct()
     beside = beside.select(F.xxhash64("g", "h").alias("token"), F.explode(F.array("g", "h")).alias("group")).union(several.select(F.xxhash64("group", "group"), "group"))
-    entries = posts.withColumn("whole", F.lit(False)).union(beside.select("token", "group", F.lit(1), F.lit(0), F.lit(True))).join(members.drop("sketch"), "group")
+    entries = posts.withColumn("whole", F.lit(False)).union(beside.select("token", "group", F.lit(1), F.lit(0), F.lit(True))).join(members.select("group", "class"), "group")
     normal = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     done = normal(candidates)
-    sketches = members.select("class", "sketch").dropDuplicates(["class"])
+    sketches = members.select("class", "sketch")
     for choose in [lambda lists: likeliest(lists, sketches)] * ROUNDS + [lambda lists: open_pairs(lists, longs)]:
         lists = open_lists(entries, known)
         more = written(choose(lists).join(done, ["a", "b"], "left_anti"))
@@ -622,7 +622,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         done = done.union(more.select("a", "b"))
         if not found.isEmpty():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-    discard(shared, longs, one, pairs)
+    discard(shared, members, longs, one, pairs)
 
     placed = known.withColumnRenamed("node", "class").join(classes.select("class", "head"), "class")
     least = written(placed.groupBy("component").agg(F.min("head").alias("least")))
