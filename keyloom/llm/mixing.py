@@ -86,7 +86,8 @@ def mix_documents(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WE
     """The documents themselves, each as often as ``mix_counts`` says; the columns of ``docs`` stay.
 
     Rows meet their counts by (doc_id, text hash, source). Rows equal in these share their
-    counts: their sum is dealt out evenly among them.
+    counts: their sum is dealt out evenly among them. The counts have a row for a document, so
+    they are never broadcast: at every size the texts are shuffled once to meet them.
     """
     key, id_, n, copies, nth = fresh(docs, "_key", "_id", "_n", "_copies", "_nth")
     row_key = lambda text_key: F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), text_key)
@@ -94,9 +95,9 @@ def mix_documents(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WE
     counts = mix_counts(docs, seed, weights, most).select(row_key(F.col("text_key")).alias(key), row_id.alias(id_), "copies")
     counts = written(counts.groupBy(key, id_).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(n)).filter(F.col(copies) > 0))
     keyed = docs.withColumns({key: row_key(F.xxhash64("text")), id_: row_id})
-    out = keyed.join(counts.filter(F.col(n) == 1), [key, id_])
+    out = keyed.join(counts.filter(F.col(n) == 1).hint("merge"), [key, id_])
     if not counts.filter(F.col(n) > 1).isEmpty():
-        several = keyed.join(counts.filter(F.col(n) > 1), [key, id_])
+        several = keyed.join(counts.filter(F.col(n) > 1).hint("merge"), [key, id_])
         several = several.withColumn(nth, F.row_number().over(Window.partitionBy(key, id_).orderBy(key)) - 1)
         extra = (F.col(nth) < F.col(copies) % F.col(n)).cast("bigint")
         several = several.withColumn(copies, F.floor(F.col(copies) / F.col(n)).cast("bigint") + extra).drop(nth)
