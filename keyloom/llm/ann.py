@@ -64,7 +64,7 @@ def search_tile(q_ids, q_data, ids, data, k: int, seed: int = 5, spent: list | N
         places[j, order[:, j]] = np.arange(n, dtype=np.uint16)
     q_norms = np.sqrt(np.einsum("ij,ij->i", q_data, q_data))
     q_shadow = (q_data / q_norms[:, None]) @ axes[:dim] * longest
-    own = dict(zip(*(x.tolist() for x in own_places(q_ids, ids))))
+    own_query, own_place = own_places(q_ids, ids)
 
     def distance(score, i):  # of the lifted vectors, from the inner product
         return math.sqrt(max(2 * longest**2 - 2 * longest * score / q_norms[i], 0.0))
@@ -89,8 +89,7 @@ def search_tile(q_ids, q_data, ids, data, k: int, seed: int = 5, spent: list | N
             verified[fresh] = True
             if spent is not None:
                 spent.append(len(fresh))
-            if i in own:
-                fresh = fresh[fresh != own[i]]
+            fresh = np.setdiff1d(fresh, own_place[own_query == i], assume_unique=True)
             place, best = np.concatenate([place, fresh]), np.concatenate([best, np.einsum("ij,j->i", data[fresh], q_data[i])])
             if len(place) > k:
                 keep = _top(place, best, k)

@@ -6,8 +6,11 @@ matrices and no pair of single rows is ever formed. Each task keeps the best of
 tiles and the lists of the tasks are merged by query.
 
 Vectors take part if neither they nor their id are null and all components are finite numbers
-(search by inner product also leaves out zero vectors); empty ones don't. Of these, rows that
-repeat a vec_id count as one vector, the least of them. Vectors are only compared with those of their length.
+(search by inner product also leaves out zero vectors); empty ones don't. Rows equal in id and
+vector count as one; rows of one id with different vectors are each a candidate, never for their
+own id, and as queries share one list: the best of all their pairs, where a vec_id may come more
+than once. Vectors are only compared with those of their length. An empty table gives no rows,
+other columns are ignored, and scores that tie go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -26,17 +29,11 @@ NEAR = "query_id bigint, vec_id bigint, score {0}"
 Match = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def one_row_an_id(vectors: DataFrame, zero: bool) -> DataFrame:
-    """(vec_id, embedding) as doubles, of repeated ids the least that takes part; the shuffle that drops repeated ids happens only if there are any."""
+def distinct_rows(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) as doubles, of rows equal in both one; the shuffle that drops them happens only if an id repeats."""
     narrow = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    ids = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).filter("vec_id IS NOT NULL").groupBy("vec_id").count()
-    if ids.filter("count > 1").isEmpty():
-        return narrow
-    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    good = (F.size("embedding") > 0) & F.forall("embedding", number)
-    if not zero:
-        good &= F.exists("embedding", lambda x: x != 0)
-    return narrow.filter(good).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    ids = narrow.groupBy("vec_id").count()
+    return narrow if ids.filter("count > 1").isEmpty() else narrow.dropDuplicates()
 
 
 def tiles(vectors: DataFrame, rows: int, zero: bool) -> DataFrame:
@@ -79,7 +76,7 @@ def tiles(vectors: DataFrame, rows: int, zero: bool) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int, match: Match, kind: str, zero: bool, rows: int = TILE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of what ``match`` finds, ties to the smaller vec_id."""
     spark = vectors.sparkSession
-    clean = one_row_an_id(vectors, zero)
+    clean = distinct_rows(vectors)
     slots = max(2 * spark.sparkContext.defaultParallelism, -(-vectors.count() // rows))
     shards = tiles(clean, rows, zero).withColumn("slot", F.pmod(F.shiftrightunsigned("tile", 33) + F.col("tile").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(slots)))
     queries = tiles(clean.filter(is_query), query_rows, zero).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
@@ -118,7 +115,7 @@ def first_k(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def own_places(q_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the queries themselves lie in a shard: (query place, shard place)."""
-    at = np.searchsorted(ids, q_ids)
-    hit = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == q_ids))
-    return hit, at[hit]
+    """Where the queries' ids lie in a shard, as pairs (query place, shard place)."""
+    left = np.searchsorted(ids, q_ids, "left")
+    n = np.searchsorted(ids, q_ids, "right") - left
+    return np.repeat(np.arange(len(q_ids)), n), np.arange(n.sum()) + np.repeat(left - np.cumsum(n) + n, n)

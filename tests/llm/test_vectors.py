@@ -26,17 +26,21 @@ ODD = [(5000, None), (5050, [None] * 12), (5100, [math.nan] * 12), (5150, [math.
 
 
 def brute(rows, every, k, score, zero):
-    clean = {i: np.array(v, float) for i, v in sorted(rows, key=lambda r: str(r)) if i is not None and v and None not in v and np.isfinite(v).all() and (zero or np.any(v))}
+    clean = {(i, *v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and (zero or np.any(v))}
+    clean = [(i, np.array(v, float)) for i, *v in sorted(clean)]
     out = set()
-    for q, x in clean.items():
-        if q % every == 0:
-            best = sorted((-score(x, v), i) for i, v in clean.items() if i != q and len(v) == len(x))[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    for q in {i for i, _ in clean if i % every == 0}:
+        best = sorted((-score(x, v), i) for own, x in clean if own == q for i, v in clean if i != q and len(v) == len(x))[:k]
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
     return out
 
 
+#: Other vectors under ids that ``random_rows`` has as well: queries and candidates.
+TWINS = [(i, random_rows(40, seed=9)[j][1]) for j, i in enumerate([0, 50, 50, 3, 60, 60, 61, 399])]
+
+
 def test_exact_top_k(spark):
-    rows = random_rows(400) + [(600 + i, random_rows(1)[0][1]) for i in range(60)] + ODD + [(3, random_rows(400)[3][1])]
+    rows = random_rows(400) + [(600 + i, random_rows(1)[0][1]) for i in range(60)] + ODD + [(3, random_rows(400)[3][1])] + TWINS
     score = lambda a, b: int((np.floor(256 * a) * np.floor(256 * b)).sum())
     want = brute(rows, 50, 5, score, True)
     assert {tuple(r) for r in topk.exact_top_k(frame(spark, rows)).collect()} == want
@@ -89,9 +93,23 @@ def test_invalid_rows_hide_no_vector_of_their_id(spark, bad):
 
 
 def test_zero_rows_hide_no_vector_of_their_id(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.0, 0.0])]  # zero is one more vector of id 1, and takes part in exact search alone
     assert [tuple(r) for r in ann.approximate_top_k(frame(spark, rows)).collect()] == [(0, 1, 1, 0.5)]
-    assert [tuple(r) for r in topk.exact_top_k(frame(spark, rows)).collect()] == [(0, 1, 1, 0)]  # zero takes part and is the least
+    assert [tuple(r) for r in topk.exact_top_k(frame(spark, rows)).collect()] == [(0, 1, 1, 256 * 128), (0, 2, 1, 0)]
+
+
+def test_every_vector_of_an_id_is_a_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (2, [0.9, 0.1]), (2, [None, 0.1]), (3, [0.8, 0.2]), (3, [-math.inf, 0.0]), (4, [0.2, 0.1]), (4, [0.7, 0.7]), (4, [0.7, 0.7])]
+    near = sorted(tuple(r) for r in ann.approximate_top_k(frame(spark, rows)).collect())
+    assert [(q, r, v) for q, r, v, _ in near] == [(0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 4, 4)]
+    got = {tuple(r) for r in topk.exact_top_k(frame(spark, rows)).collect()}
+    assert {(q, r, v) for q, r, v, _ in got} == {(0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 4, 4)}
+    some = random_rows(500) + TWINS
+    want = brute(some, 20, 20, lambda a, b: float(np.einsum("i,i->", a, b)), False)
+    found = [tuple(r) for r in ann.approximate_top_k(frame(spark, some)).collect()]
+    assert len(found) == len(want) and all(q != v for q, _, v, _ in found)
+    near = lambda rows: {(q, v, round(s, 9)) for q, _, v, s in rows}
+    assert len(near(found) & near(want)) >= 0.9 * len(near(want))
 
 
 @pytest.mark.parametrize("sure", [0.8, 0.97])
