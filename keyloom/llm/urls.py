@@ -7,11 +7,15 @@ is blocked by a rule and none is allowed by one (an explicit allow comes first),
 a rule's own verdict is never changed.
 
 Edges come from the pages themselves (a canonical link or a refresh redirect in the html) and
-from an optional table of (src, dst). Rules are a list of bounded length held in the plan, so
-urls are judged where they are read; only urls with edges are shuffled.
+from an optional table of (src, dst). A short list of rules is held in the plan, so urls are
+judged where they are read and only urls with edges are shuffled. A longer list, or a table of
+(rule, verdict), is joined: distinct hosts meet rules by the ends of their names, urls meet the
+rules of their host. Both give the same.
 
 Defined cases: null url, or one without "://": empty host and path, no rule, allowed. Null html
-has no edges. Repeated rows are judged each for itself. Other columns are ignored.
+has no edges. Repeated rows are judged each for itself. Other columns are ignored. Of rules of
+equal length block comes first; null rules are none. An empty table gives no rows; urls and html
+of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ from .common import components, written
 Rule = tuple[str, str]
 # The rules of the registered query.
 RULES: tuple[Rule, ...] = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Rules are literals of the plan; longer lists belong in a table.
-MOST_RULES = 10_000
+#: A list of up to so many rules stands in the plan; others are joined.
+LITERAL_RULES = 1_000
+FITTING = "array<struct<path:string,length:int,verdict:string,rule:string>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CANONICAL_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b[^>]*>"
@@ -46,8 +51,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """struct(length, rule, verdict) of the longest rule that fits, else null. On equal length block comes before allow."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     if not rules:
         return F.lit(None).cast("struct<length:int,verdict:string,rule:string>")
     by_host: dict[str, list[tuple[str, str, str]]] = {}
@@ -55,16 +58,42 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
         if verdict not in ("allow", "block"):
             raise ValueError(f"no such verdict: {verdict}")
         name, slash, rest = rule.partition("/")
-        by_host.setdefault(name.lower(), []).append((slash + rest, verdict, rule))
+        by_host.setdefault(name.translate(str.maketrans(UPPER, LOWER)), []).append((slash + rest, verdict, rule))
     labels = max(name.count(".") + 1 for name in by_host)
     fits = []
     table = F.create_map(*[x for name, own in by_host.items() for x in (F.lit(name), F.array(*[F.struct(F.lit(p).alias("path"), F.lit(len(r)).alias("length"), F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for p, v, r in own]))])
     for k in range(1, labels + 1):  # the last k labels of the host
-        fits.append(F.coalesce(F.try_element_at(table, F.substring_index(host, ".", -k)), F.array().cast("array<struct<path:string,length:int,verdict:string,rule:string>>")))
-    fitting = F.filter(F.concat(*fits), lambda r: path.startswith(r["path"]))
+        fits.append(F.coalesce(F.try_element_at(table, F.substring_index(host, ".", -k)), F.array().cast(FITTING)))
+    return longest(F.concat(*fits), path)
+
+
+def longest(rules: Column, path: Column) -> Column:
+    """Of a host's rules the longest that the path starts with."""
+    fitting = F.filter(rules, lambda r: path.startswith(r["path"]))
     return F.array_max(F.transform(fitting, lambda r: F.struct(r["length"], r["verdict"], r["rule"])))
 
 
+def ruled(urls: DataFrame, url: str, rules: Sequence[Rule] | DataFrame, literal: int = LITERAL_RULES) -> DataFrame:
+    """``urls`` with host, path and _own, the rule that fits (see ``rule_for``)."""
+    host, path = host_and_path(F.col(url))
+    urls = urls.withColumns({"host": host, "path": path})
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= literal:
+            return urls.withColumn("_own", rule_for(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
+    rules = rules.select("rule", "verdict").filter("rule IS NOT NULL")
+    if (odd := rules.filter("verdict IS NULL OR verdict NOT IN ('allow', 'block')").first()) is not None:
+        raise ValueError(f"no such verdict: {odd['verdict']}")
+    name, rest = F.substring_index("rule", "/", 1), F.regexp_extract("rule", "(?s)^[^/]*(.*)$", 1)
+    own = F.struct(rest.alias("path"), F.length("rule").alias("length"), "verdict", "rule")
+    table = written(rules.select(F.translate(name, UPPER, LOWER).alias("end"), own.alias("own")).distinct())
+    labels = table.agg(F.max(F.size(F.split("end", "[.]")))).first()[0] or 1
+    ends = F.expr(f"transform(sequence(1, least({labels}, size(split(host, '[.]')))), k -> substring_index(host, '.', -k))")
+    met = urls.select("host").distinct().select("host", F.explode(ends).alias("end")).join(table, "end")
+    of_host = met.groupBy("host").agg(F.collect_list("own").alias("_rules"))
+    return urls.join(of_host, "host", "left").withColumn("_own", longest("_rules", F.col("path"))).drop("_rules")
+
+
 def resolved(to: Column, page: Column) -> Column:
     """The absolute url that ``to`` names on a page; null for a fragment, another kind of scheme, or a page without "://"."""
     root = F.regexp_extract(page, r"^[^:/?#]*://[^/?#]*", 0)
@@ -92,21 +121,17 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return both.select("a", F.explode("to").alias("to")).select("a", resolved(F.col("to"), F.col("a")).alias("b")).filter("b IS NOT NULL AND a <> b")
 
 
-def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, component_blocked) for every row of ``pages``."""
     edges = page_edges(pages) if "html" in pages.columns else None
     if redirects is not None:
         given = redirects.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("src IS NOT NULL AND dst IS NOT NULL")
         edges = given if edges is None else edges.unionByName(given)
-    host, path = host_and_path(F.col("url"))
-    judged = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
-    judged = judged.withColumn("_own", rule_for(F.col("host"), F.col("path"), rules))
+    judged = ruled(pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url")), "url", rules)
     blocked = F.lit(False)
     if edges is not None and not (edges := written(edges.distinct())).isEmpty():
         aliases = written(components(edges))
-        host, path = host_and_path(F.col("node"))
-        verdict = rule_for(host, path, rules)["verdict"]
-        by_component = aliases.select("node", "component", verdict.alias("v")).groupBy("component").agg(F.max(F.col("v") == "block").alias("block"), F.max(F.col("v") == "allow").alias("allow"))
+        by_component = ruled(aliases, "node", rules).select("node", "component", F.col("_own")["verdict"].alias("v")).groupBy("component").agg(F.max(F.col("v") == "block").alias("block"), F.max(F.col("v") == "allow").alias("allow"))
         bad = by_component.filter("block AND NOT coalesce(allow, false)").select("component")
         named = aliases.join(bad, "component").select(F.col("node").alias("url"), F.lit(True).alias("_bad"))
         judged = judged.join(named, "url", "left")

@@ -167,3 +167,28 @@ def test_url_edges_rows_and_tables(spark):
     assert {r["verdict"] for r in urls.judge_pages(pages(spark).drop("html"), rules=[]).collect()} == {"allow"}
     with pytest.raises(ValueError):
         urls.rule_for(F.lit("a"), F.lit("/"), [("a/", "maybe")])
+    with pytest.raises(ValueError):
+        urls.judge_pages(pages(spark), rules=spark.createDataFrame([("a/", None)], "rule string, verdict string"))
+
+
+def test_many_rules_and_long_urls(spark):
+    rng = random.Random(8)
+    name = lambda n: ".".join(rng.choice(["a", "b", "com", "Net"]) for _ in range(n))
+    path = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randrange(4)))
+    rules = [(name(rng.randrange(1, 4)) + rng.choice([path(), ""]), rng.choice(["allow", "block"])) for _ in range(60)] + list(urls.RULES)
+    rows = [(i, f"http://{name(rng.randrange(1, 5))}{path()}", f"<link rel=canonical href='http://{name(2)}{path()}'>") for i in range(150)] + PAGES
+    rows += [(900, "http://a.com/" + "x" * 100_000, "x" * 100_000), (901, "http://" + "a." * 5_000 + "com/x", None), (902, None, None)]
+
+    def plain(url):
+        rest = (url or "").partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0].lower()
+        way = re.match("[^?#]*", rest[len(host) :])[0]
+        fits = [(len(r), v, r) for r, v in rules for n, s, p in [r.partition("/")] if f".{host}".endswith(f".{n.lower()}") and way.startswith(s + p)]
+        return max(fits)[2] if fits else None
+
+    few = {tuple(r) for r in urls.judge_pages(pages(spark, rows), rules=rules).collect()}
+    many = urls.judge_pages(pages(spark, rows), rules=spark.createDataFrame([*rules, rules[0], (None, "block")], "rule string, verdict string"))
+    assert {tuple(r) for r in many.collect()} == few and many.count() == len(rows)
+    assert {(r[0], r[4]) for r in few} == {(i, plain(u)) for i, u, _ in rows}
+    listed = urls.ruled(pages(spark, rows).select("url"), "url", rules, literal=1)
+    assert {(r["url"], r["_own"] and r["_own"]["rule"]) for r in listed.collect()} == {(u, plain(u)) for _, u, _ in rows}
