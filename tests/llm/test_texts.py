@@ -347,6 +347,36 @@ def test_resampling_keeps_the_like_of_the_target(spark):
     assert quality.resample(frame(spark, good[:5] + odd[:2]), labels.limit(0)).count() == 5
 
 
+def test_resampling_equals_brute_force(spark):
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "Cc", "d1"] if i % 3 else ["XX!", "aa", "9"]) for _ in range(rng.randrange(1, 60))), "en") for i in range(240)]
+    rows += [(500, None, None), (501, "", None), (None, "aa bb", "en"), rows[7], (600, "aa bb Cc " * 30_000, "en")]
+    good = {i for i in range(0, 240, 2) if i % 3}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(100)], "doc_id bigint, quality int")
+    buckets = [quality.features(pa.array([t], pa.string()))[0].tolist() for _, t, _ in rows]
+    raw, target = Counter(), Counter()
+    for (i, _, _), f in zip(rows, buckets):
+        raw.update(f)
+        if i is not None and i < 100 and i in good:
+            target.update(f)
+    mass = sum(target.values()) / sum(raw.values())
+    ratio = {b: np.log((target[b] + quality.PSEUDO) / (n * mass + quality.PSEUDO)) for b, n in raw.items()}
+    noise = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i, _, _ in rows], "i bigint").select("i", quality.gumbel(F.col("i"), 3)).collect()}
+    scored = [(sum(ratio[b] for b in f), i) for (i, _, _), f in zip(rows, buckets) if f]
+    keys = sorted((w + noise[i] for w, i in scored), reverse=True)
+    last = keys[sum(w >= -quality.SLACK for w, _ in scored) - 1]
+    want = sorted(((i, w) for w, i in scored if w + noise[i] >= last - 1e-9), key=str)
+    clash = frame(spark, rows).withColumns({"w": F.lit("x"), "key": F.lit(1), "log_importance": F.lit(2), "Gumbel_Key": F.lit(3)})
+    got = quality.resample(clash, labels)
+    assert got.columns == [*clash.columns, "log_importance_", "gumbel_key_"]
+    found = sorted(((r["doc_id"], r["log_importance_"]) for r in got.collect()), key=str)
+    assert Counter(i for i, _ in found) == Counter(i for i, _ in want) and 0 < len(want) < len(scored)
+    close = dict(want)
+    assert all(w == pytest.approx(close[i], abs=1e-6) for i, w in found)
+
+
 def test_gumbel_noise_is_standard(spark):
     x = np.array([r[0] for r in spark.range(20_000).select(quality.gumbel(F.col("id"), 3)).collect()])
     assert abs(x.mean() - 0.5772) < 0.05 and abs(x.std() - 1.2825) < 0.05
@@ -378,3 +408,36 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
         assert 0 < out.count() <= 3 * docs.count()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, library):
+    """run() against its stages one by one: nulls, empty and long texts, repeated rows, clashing columns; then an empty table."""
+    rng = random.Random(31)
+    rows = [(i, words(rng, 60, most=30), "en") for i in range(60)]
+    key = "password = hunter2hunter2"
+    rows += [(100 + i, rows[5][1], "en") for i in range(20)] + [rows[6], rows[6], (200, rows[7][1] + " " + key, None), (201, words(rng, 40_000, most=30), "en")]
+    rows += [(300, None, None), (301, "", "en"), (302, " \t", "en"), (None, words(rng, 50, most=30), None), (None, None, None), (303, "one two", "de")]
+    docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("doc_id") % 3)))
+    docs = docs.withColumns({"_text_key": F.lit(1), "copies": F.lit("c"), "size": F.lit(0.5), "head": F.lit(True), "uid": F.lit(4)})
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(0, 60, 2), 201]] + [(None, 1, None), (3, None, 1)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/odd/labels.parquet")
+    sf_dir, now, kept = f"{tmp_path}/odd", spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf_dir)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = [(r["doc_id"], r["text"], r["source"]) for r in now.collect()]
+    ids = {name: Counter(i for i, _, _ in found) for name, found in kept.items()}
+    assert ids["quality"][6] == 3 and ids["quality"][201] == 1 and sum(ids["quality"][100 + i] for i in range(20)) == 20
+    assert not any(ids["quality"][i] for i in (300, 301, 302)) and ids["quality"][None] == 1  # without words
+    assert ids["near_duplicates"] == Counter({i: 1 for i in [*range(60), 201, 303, None] if ids["quality"][i]})
+    assert [t for _, t, _ in sorted(kept["secrets"], key=str)] == [secrets.redact(t) for _, t, _ in sorted(kept["near_duplicates"], key=str)]
+    assert set(kept["mixing"]) <= set(kept["secrets"]) and max(ids["mixing"].values()) <= 3
+    texts = Counter((i, len(library.encode_ordinary(t or ""))) for i, t, _ in kept["mixing"])
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == texts
+    for name, table in (("documents", docs), ("labels", labels)):
+        table.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
