@@ -2,6 +2,11 @@
 
 Each stage reads all that its predecessor kept, and all but the last return the columns of
 documents. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again.
+
+Defined cases: documents without words (null, empty, white space alone) go in the quality stage; a
+null doc_id or source is a value like any other. Of rows that repeat a text one stays: the smallest
+doc_id, null last. Texts of any length count whole. Other columns stay as they are, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
